@@ -114,12 +114,12 @@ def _instr(a):
 
 @function("CHAR", least=0, most=_MANY)
 def _char(a):
-    return Value(F.concat_ws("", *(F.decode(F.unhex(F.lpad(F.hex(integer(x)), 8, "0")), "UTF-32BE") for x in a)), TEXT)
+    return Value(F.concat_ws("", *(F.decode(F.unhex(F.lpad(F.hex(integer(x)), 8, "0")), "UTF-32") for x in a)), TEXT)
 
 
 @function("UNICODE")
 def _unicode(a):
-    return Value(F.when(text(a[0]) != "", F.conv(F.hex(F.encode(F.substring(text(a[0]), 1, 1), "UTF-32BE")), 16, 10).cast("bigint")), INT)
+    return Value(F.when(text(a[0]) != "", F.conv(F.hex(F.encode(F.substring(text(a[0]), 1, 1), "UTF-32")), 16, 10).cast("bigint")), INT)
 
 
 @function("HEX")

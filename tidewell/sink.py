@@ -47,7 +47,7 @@ def value_text(value: object) -> str:
     if isinstance(value, (list, dict, Row)):
         value = json.dumps(value, default=str, sort_keys=True, separators=(",", ":"))
     text = json.dumps(str(value), ensure_ascii=False)
-    for plain in "<>&  ":
+    for plain in "<>&\u2028\u2029":
         text = text.replace(plain, f"\\u{ord(plain):04x}")
     return text
 

@@ -58,7 +58,8 @@ def read_objects(lines: DataFrame, inferred: T.StructType, flat: T.StructType |
 
 def infer(spark: SparkSession, lines: DataFrame) -> T.StructType:
     """The schema of the objects in a column ``value``, with the keys of all of them."""
-    return spark.read.option("dropFieldIfAllNull", False).json(lines.select(_VALUE)).schema
+    texts = getattr(lines.select(_VALUE)._jdf, "as")(spark.sparkContext._jvm.org.apache.spark.sql.Encoders.STRING())
+    return T.StructType.fromJson(json.loads(spark._jsparkSession.read().json(texts).schema().json()))
 
 
 def _objects(texts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

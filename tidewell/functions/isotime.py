@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_HOUR = "([01][0-9]|2[0-3])"
 _ZONE = r"(Z|[+-][0-9]{2}(:?[0-5][0-9])?)?"
 #: Extended or basic form, date and time parted by `T` or one space, optional fraction, optional zone.
 READABLE = (
-    r"^([0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}([.,][0-9]+)?" + _ZONE
-    + r"|[0-9]{4}[0-9]{2}[0-9]{2}[T ][0-9]{2}[0-9]{2}[0-9]{2}([.,][0-9]+)?" + _ZONE + r")\z"
+    r"^([0-9]{4}-[0-9]{2}-[0-9]{2}[T ]" + _HOUR + r":[0-5][0-9]:[0-5][0-9]([.,][0-9]+)?" + _ZONE
+    + r"|[0-9]{4}[0-9]{2}[0-9]{2}[T ]" + _HOUR + r"[0-5][0-9][0-5][0-9]([.,][0-9]+)?" + _ZONE + r")\z"
 )
 
 

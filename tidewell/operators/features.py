@@ -32,57 +32,56 @@ def cell_states(events: DataFrame) -> DataFrame:
 class FeatureTable:
     """Feature rows under one path: each batch appends the full rows of the entities it changed.
 
-    A row's version is its batch; the newest version of an entity counts. Batches that are run
-    again after a failure overwrite their own folder, so an upsert happens once. After
-    ``compact_after`` versions the table is rewritten as one.
+    A row's version is its batch; the newest version of an entity counts. A batch that is run again after a
+    failure overwrites its own folder, so an upsert happens once. When more than ``compact_after`` batches lie
+    there, the next one first merges them to one base; the folders that the base replaces are dropped after it
+    is complete.
     """
 
     def __init__(self, spark: SparkSession, path: str, compact_after: int = 8):
         self.spark, self.path, self.compact_after = spark, path, compact_after
+        self.base: int | None = None
         self.versions: list[int] = []
         self.schema = f"entity bigint, cells map<string,{CELL}>, version bigint"
 
+    def _folders(self, below: int | None = None) -> list[str]:
+        own = [f"{self.path}/base-{self.base:08d}"] if self.base is not None else []
+        return own + [self._folder(v) for v in self.versions if below is None or v < below]
+
     def _folder(self, version: int) -> str:
         return f"{self.path}/version-{version:08d}"
 
-    def _stored(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(*map(self._folder, self.versions))
-
-    def current(self) -> DataFrame:
-        """The newest full row of each entity."""
-        if not self.versions:
+    def current(self, below: int | None = None) -> DataFrame:
+        """The newest full row of each entity, of all batches or of those before ``below``."""
+        folders = self._folders(below)
+        if not folders:
             return self.spark.createDataFrame([], self.schema).select("entity", "cells")
-        if len(self.versions) == 1:
-            return self._stored().select("entity", "cells")
-        newest = F.max_by("cells", "version").alias("cells")
-        return self._stored().groupBy("entity").agg(newest)
+        stored = self.spark.read.schema(self.schema).parquet(*folders)
+        if len(folders) == 1:
+            return stored.select("entity", "cells")
+        return stored.groupBy("entity").agg(F.max_by("cells", "version").alias("cells"))
 
     def upsert(self, changed: DataFrame, batch: int) -> None:
         """Merge changed cells, which hold whole counters rather than increments, into the rows of their entities."""
+        if len([v for v in self.versions if v < batch]) > self.compact_after:
+            self._compact(batch)
         fresh = changed.groupBy("entity").agg(
             F.map_from_entries(F.collect_list(F.struct("type", F.struct("n", "last_us", "total").cast(CELL).alias("cell")))).alias("fresh")
         )  # an entity has at most as many cells as there are types
-        before = [v for v in self.versions if v != batch]
-        self.versions = before
-        if before:
+        if self._folders(batch):
             kept = F.map_filter("cells", lambda kind, _: ~F.map_contains_key("fresh", kind))
             old = F.coalesce(kept, F.create_map().cast(f"map<string,{CELL}>"))
-            fresh = fresh.join(self.current(), "entity", "left").select("entity", F.map_concat(old, "fresh").alias("fresh"))
+            fresh = fresh.join(self.current(batch), "entity", "left").select("entity", F.map_concat(old, "fresh").alias("fresh"))
         fresh.select("entity", F.col("fresh").alias("cells"), F.lit(batch).cast("bigint").alias("version")).write.mode("overwrite").parquet(self._folder(batch))
-        self.versions = [*before, batch]
-        if len(self.versions) > self.compact_after:
-            self._compact(batch)
-
-    def _compact(self, batch: int) -> None:
-        merged = f"{self.path}/merged-{batch:08d}"
-        self.current().withColumn("version", F.lit(batch).cast("bigint")).write.mode("overwrite").parquet(merged)
-        stale, self.versions = self.versions, []
-        for version in stale:
-            remove_path(self.spark, self._folder(version))
-        jvm = self.spark.sparkContext._jvm
-        source, target = jvm.org.apache.hadoop.fs.Path(merged), jvm.org.apache.hadoop.fs.Path(self._folder(batch))
-        source.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).rename(source, target)
-        self.versions = [batch]
+        self.versions = sorted({*self.versions, batch})
+
+    def _compact(self, before: int) -> None:
+        newest = max(v for v in self.versions if v < before)
+        self.current(before).withColumn("version", F.lit(newest).cast("bigint")).write.mode("overwrite").parquet(f"{self.path}/base-{newest:08d}")
+        stale = self._folders(before)
+        self.base, self.versions = newest, [v for v in self.versions if v >= before]
+        for folder in stale:
+            remove_path(self.spark, folder)
 
 
 def maintain_features(stream: DataFrame, table: FeatureTable, checkpoint: str) -> None:

@@ -1,0 +1,72 @@
+import random
+
+import numpy as np
+import pytest
+from tokenizers import Tokenizer
+
+from tidewell.llm.bpe import TOKENIZERS, VOCABULARY, CorpusEncoder, merge_table
+from tidewell.llm.tokenizing import encode_corpus
+
+PATH = f"{TOKENIZERS}/{VOCABULARY}"
+SPECIAL = ["<|endoftext|>", "a<|endoftext|>b", "'s'S 'll", "", " ", "   x", "\n\n \t", "a" * 5000, " " * 3001, "ab" * 777, "é" * 500, "\x1c\x1d x\x85y z", "​﻿", "日本語。", "🧑‍🚀" * 40, "x" * 97, "aaaaaaa aaaa aa"]
+
+
+@pytest.fixture(scope="module")
+def reference():
+    t = Tokenizer.from_file(PATH)
+    t.encode_special_tokens = True
+    return lambda texts: [e.ids for e in t.encode_batch(list(texts), add_special_tokens=False)]
+
+
+def random_texts(n, seed):
+    rng = random.Random(seed)
+    letters = [chr(c) for c in [*range(256), 0x1680, 0x2003, 0x2028, 0x300, 0x4E2D, 0x1F600, 0x661, 0x1D7D8, 0x180E]] + ["'s", "'ll", " ", "  ", "\n", "aaaa", "the ", "ing", "<|endoftext|>"]
+    return ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(n)]
+
+
+def test_encoder_equals_the_public_library(reference):
+    texts = SPECIAL + random_texts(3000, 1)
+    encoder = CorpusEncoder(PATH)
+    got = [encoder.gather(w).tolist() for w in encoder.words(texts)]
+    assert got == reference(texts)
+    assert [encoder.count(t) for t in texts] == [len(ids) for ids in got]
+    assert [CorpusEncoder(PATH).count(t) for t in SPECIAL] == [len(ids) for ids in reference(SPECIAL)]
+
+
+def test_pairs_only_meet_later_merges():
+    """What lets one pass in rank order take every merge: a merged token occurs in merges of higher rank only."""
+    table = merge_table(PATH)
+    first = {}
+    for rank, merged in enumerate(table.merged.tolist()):
+        first.setdefault(merged, rank)
+    for rank, (a, b) in enumerate(zip(table.left.tolist(), table.right.tolist(), strict=True)):
+        assert first.get(a, -1) < rank and first.get(b, -1) < rank
+
+
+def test_forgetting_words_changes_nothing(reference, monkeypatch):
+    monkeypatch.setattr("tidewell.llm.bpe.KNOWN_WORDS", 50)
+    encoder = CorpusEncoder(PATH)
+    for seed in range(5):
+        texts = random_texts(40, seed)
+        assert [encoder.gather(w).tolist() for w in encoder.words(texts)] == reference(texts)
+
+
+def test_operator(spark, reference, monkeypatch):
+    monkeypatch.setattr("tidewell.llm.tokenizing.CHUNK_CHARS", 200)
+    texts = [None, "", *SPECIAL, *random_texts(200, 9), "same", "same", "long " * 50_000]
+    rows = [(k if k != 3 else None, t) for k, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "'x' AS ids", "1 AS `Text 2`").repartition(3)
+    got = encode_corpus(frame)
+    assert got.dtypes == [("doc_id", "bigint"), ("ids", "array<int>")]
+    found = {r["doc_id"]: r["ids"] for r in got.collect()}
+    assert len(found) == len(rows)
+    expected = reference(t or "" for t in texts)
+    assert all(found[i] == expected[k] for k, (i, _) in enumerate(rows))
+    assert encode_corpus(frame.limit(0)).count() == 0
+
+
+def test_replay_of_nothing():
+    ids, offsets = merge_table(PATH).replay([])
+    assert len(ids) == 0 and offsets.tolist() == [0]
+    ids, offsets = merge_table(PATH).replay([b"", b"the", b""])
+    assert len(ids) == 1 and offsets.tolist() == [0, 0, 1, 1] and isinstance(ids, np.ndarray)

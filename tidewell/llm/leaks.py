@@ -22,6 +22,7 @@ SEED = 20_160_104
 BLOCK_WORDS = 200_000
 
 _WORDS = regex.compile(r"[\p{L}\p{N}]+").findall
+_END = np.array([-1], np.int64)
 SCHEMA = "doc_id bigint, item_id bigint, distance int, n_windows bigint, first_word bigint, last_word bigint"
 
 
@@ -164,16 +165,16 @@ class ItemIndex:
     def search(self, texts: list[str | None]) -> pd.DataFrame:
         """The items found in each text, with the least distance, the number of windows and their place."""
         get = self.symbols.get
-        widest = max((s.size for s in self.sizes), default=1)
         parts, starts, at = [], np.zeros(len(texts), np.int64), 0
         for k, text in enumerate(texts):
             own = words_of(text)
             starts[k] = at
             parts.append(np.fromiter((get(w, 0) for w in own), np.int64, len(own)))
-            parts.append(np.zeros(widest, np.int64))  # parts the texts: no window reaches across
-            at += len(own) + widest
+            parts.append(_END)
+            at += len(own) + 1
         stream = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        foreign = np.append(0, np.cumsum(stream == 0))
+        # the end of a text counts as more foreign words than any window may hold, so no window reaches beyond it
+        foreign = np.append(0, np.cumsum(np.where(stream < 0, 1 << 20, stream == 0)))
         found = []
         for index in self.sizes:
             most = edits_allowed(index.size)

@@ -1,6 +1,7 @@
 import datetime
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidewell.operators.orphans import Parent, Reference, orphan_counts, orphan_references
@@ -41,7 +42,8 @@ def brute(parents, children):
     return found
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("broadcast_keys", [0, 1000])
+def test_against_brute_force(spark, broadcast_keys):
     rng = random.Random(1)
     parents = [(float(rng.randint(-3, 40)), v, rng.choice([None, rng.randint(-20, 50) * DAY]), rng.choice([None, None, rng.randint(0, 90) * DAY]), "x") for v in range(60)]
     parents += [(None, 1, 0, 0, "x"), parents[0], (99.0, None, 5 * DAY, None, "x")]
@@ -49,7 +51,7 @@ def test_against_brute_force(spark):
     parents.append((7.0, 1000, 0, 30 * DAY, "x"))
     children = [(k, 7.0 if k % 3 == 0 else rng.choice([None, float(rng.randint(-3, 60)), 99.0, 12.5]), rng.choice([None, rng.randint(-30, 90) * DAY + rng.randint(0, DAY - 1)]), "p", 1) for k in range(900)]
     children += children[:50] + [(None, 1234.0, DAY, "p", 1)]
-    orphans = orphan_references(*build(spark, parents, children))
+    orphans = orphan_references(*build(spark, parents, children), broadcast_keys=broadcast_keys)
     got = [(r["ref_table"], r["ref_field"], r["record_id"], r["period"], r["cause"]) for r in orphans.collect()]
     assert len(got) == len(set(got)) and set(got) == brute(parents, children)
     counts = {(r["period"], r["cause"]): r["n_orphans"] for r in orphan_counts(orphans).collect()}

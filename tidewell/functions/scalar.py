@@ -311,6 +311,14 @@ def _by_engine(name: str, result: str):
 
     def build(a: list[Value]) -> Value:
         marks = ", ".join("?" * len(a))
+        given = [v.literal for v in a]
+        if None not in given and not any(isinstance(g, str) and g.lower() == "now" for g in given):
+            # of literals alone the value is known now
+            try:
+                value = sqlite3.connect(":memory:").execute(f"SELECT {name}({marks})", given).fetchone()[0]
+            except sqlite3.Error:
+                value = None
+            return Value(F.lit(value).cast(spark_type), result, literal=value)
 
         def run(*columns: pd.Series) -> pd.Series:
             engine = sqlite3.connect(":memory:")
@@ -327,15 +335,9 @@ def _by_engine(name: str, result: str):
             return pd.Series(found, dtype=object) if result == TEXT else pd.Series(found, dtype="Int64" if result == INT else "float64")
 
         udf = F.pandas_udf(run, spark_type)
-        columns = [v.col if v.kind in (INT, REAL, TEXT) else number(v).col if v.kind == BOOL else text(v) for v in a] or [F.lit(0)]
-        if not a:
-            return Value(F.pandas_udf(lambda s: run_none(s, name), spark_type)(F.lit(0)), result)
+        columns = [v.col if v.kind in (INT, REAL, TEXT) else number(v).col if v.kind == BOOL else text(v) for v in a]
         return Value(udf(*columns), result)
 
-    def run_none(s: pd.Series, own: str) -> pd.Series:
-        value = sqlite3.connect(":memory:").execute(f"SELECT {own}()").fetchone()[0]
-        return pd.Series([value] * len(s))
-
     return build
 
 

@@ -7,8 +7,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.runtime import write_and_read
+
 #: A key's records are spread over so many join tasks.
 SALTS = 16
+#: So many keys of 40 bytes are broadcast at most.
+BROADCAST_KEYS = 400_000
+CAUSES = ("missing", "not_yet_created", "already_deleted")
 
 
 @dataclass(frozen=True)
@@ -68,34 +73,27 @@ def broken_keys(parents: list[Parent], references: list[Reference]) -> DataFrame
     range of times leaves the life span of the parent's current version.
     """
     none = F.lit(None).cast("bigint")
-    tagged = [
-        p.rows.where(p.key.isNotNull()).select(
-            F.lit(p.name).alias("parent"), p.key.alias("key"), F.lit(True).alias("is_parent"),
-            F.struct(p.version.alias("version"), p.created.alias("created"), p.deleted.alias("deleted")).alias("life"),
-            none.alias("t"),
-        )
+    current = [
+        p.rows.where(p.key.isNotNull())
+        .groupBy(p.key.alias("key"))
+        .agg(F.max(F.struct(p.version.alias("version"), p.created.alias("created"), p.deleted.alias("deleted"))).alias("life"))
+        .select(F.lit(p.name).alias("parent"), "key", F.lit(1).alias("is_parent"), "life.created", "life.deleted", none.alias("t"))
         for p in parents
     ]
-    life = tagged[0].schema["life"].dataType
-    child = _children(references).select(
-        "parent", "key", F.lit(False).alias("is_parent"), F.lit(None).cast(life).alias("life"), "t"
-    )
+    child = _children(references).select("parent", "key", F.lit(0).alias("is_parent"), none.alias("created"), none.alias("deleted"), "t")
     groups = (
-        _union([*tagged, child])
+        _union([*current, child])
         .groupBy("parent", "key")
         .agg(
-            F.max("is_parent").alias("known"), F.max("life").alias("life"), F.min("t").alias("first_t"),
-            F.max("t").alias("last_t"), F.count_if(~F.col("is_parent")).alias("n_children"),
+            F.max("is_parent").alias("known"), F.max("created").alias("created"), F.max("deleted").alias("deleted"), F.min("t").alias("first_t"),
+            F.max("t").alias("last_t"), F.count_if(F.col("is_parent") == 0).alias("n_children"),
         )
     )
-    early = F.col("first_t") < F.col("life.created")
-    late = F.col("last_t") >= F.col("life.deleted")
-    return groups.where((F.col("n_children") > 0) & (~F.col("known") | F.coalesce(early, F.lit(False)) | F.coalesce(late, F.lit(False)))).select(
-        "parent", "key", "known", F.col("life.created").alias("created"), F.col("life.deleted").alias("deleted")
-    )
+    outside = F.coalesce(F.col("first_t") < F.col("created"), F.lit(False)) | F.coalesce(F.col("last_t") >= F.col("deleted"), F.lit(False))
+    return groups.where((F.col("n_children") > 0) & ((F.col("known") == 0) | outside)).select("parent", "key", "known", "created", "deleted")
 
 
-def orphan_references(parents: list[Parent], references: list[Reference]) -> DataFrame:
+def orphan_references(parents: list[Parent], references: list[Reference], broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """One row for each distinct record and field whose reference doesn't hold.
 
     Columns: ``ref_table``, ``ref_field``, ``record_id``, ``period`` (Monday of the record's UTC
@@ -106,24 +104,26 @@ def orphan_references(parents: list[Parent], references: list[Reference]) -> Dat
     name no row. Records stored more than once come out once; a null record id is one record.
     Empty tables give no rows, or only missing ones if the parents are empty.
 
-    The keys found by ``broken_keys`` are joined back to their records. Both sides carry a salt
-    taken from the record, so the records of one hot key go to ``SALTS`` tasks.
+    The keys found by ``broken_keys`` are written to the shared folder and counted, then joined back to their
+    records: up to ``broadcast_keys`` of them are broadcast, so that no record is shuffled. More of them
+    meet the records in a shuffle, where both sides carry a salt taken from the record, so that the
+    records of one hot key go to ``SALTS`` tasks.
     """
-    broken = broken_keys(parents, references).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    child = _children(references).withColumn("salt", F.pmod(F.hash("record_id"), F.lit(SALTS)))
-    cause = (
-        F.when(~F.col("known"), "missing")
-        .when(F.col("t") < F.col("created"), "not_yet_created")
-        .when(F.col("t") >= F.col("deleted"), "already_deleted")
-    )
-    found = child.join(broken, ["parent", "key", "salt"]).withColumn("cause", cause).where(F.col("cause").isNotNull())
+    broken = write_and_read(broken_keys(parents, references), "broken-keys")
+    child = _children(references)
+    if broken.count() <= broadcast_keys:
+        found = child.join(F.broadcast(broken), ["parent", "key"])
+    else:
+        salted = broken.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        found = child.withColumn("salt", F.pmod(F.hash("record_id"), F.lit(SALTS))).join(salted, ["parent", "key", "salt"])
+    cause = F.when(F.col("known") == 0, 1).when(F.col("t") < F.col("created"), 2).when(F.col("t") >= F.col("deleted"), 3)
     # 1970-01-01 was a Thursday; days since the Monday before it, in UTC and free of the session's zone
     day = F.floor(F.col("t") / F.lit(86_400_000_000)).cast("int")
-    monday = F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), day - F.pmod(day + F.lit(3), F.lit(7))), "yyyy-MM-dd")
-    return (
-        found.withColumn("period", monday)
-        .groupBy("ref_table", "ref_field", "record_id")
-        .agg(F.min("period").alias("period"), F.min("cause").alias("cause"))
+    found = found.withColumns({"cause": cause, "monday": day - F.pmod(day + F.lit(3), F.lit(7))}).where(F.col("cause").isNotNull())
+    once = found.groupBy("ref_table", "ref_field", "record_id").agg(F.min("monday").alias("monday"), F.min("cause").alias("cause"))
+    return once.select(
+        "ref_table", "ref_field", "record_id", F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), F.col("monday")), "yyyy-MM-dd").alias("period"),
+        F.element_at(F.array(*map(F.lit, CAUSES)), F.col("cause")).alias("cause"),
     )
 
 

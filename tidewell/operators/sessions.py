@@ -123,7 +123,7 @@ def sessions(
 
     Columns: ``entity``, ``session_start_ms``, ``session_end_ms``, ``duration_ms``, ``n_events``
     (distinct event ids). Rows with a null entity, event id or time belong to no session. Repeated
-    deliveries of an event count once (with the earliest of their times, should they differ). Events
+    deliveries of an event count once (with the least of their entities and times, should they differ). Events
     at one instant are one point in time. An empty table gives no rows.
 
     Each entity has a bitmap of the slots (``gap_ms / slots_per_gap`` wide) in which it has events,
@@ -141,7 +141,7 @@ def sessions(
     rows = events.select(entity.alias("entity"), event_id.alias("id"), time_ms.alias("ms")).where(
         F.col("entity").isNotNull() & F.col("id").isNotNull() & F.col("ms").isNotNull()
     )
-    once = rows.groupBy("id").agg(F.min(F.struct("ms", "entity")).alias("e")).select("e.entity", "e.ms")
+    once = rows.groupBy("id").agg(F.min("entity").alias("entity"), F.min("ms").alias("ms"))
     slots = (
         once.groupBy("entity", F.floor(F.col("ms") / F.lit(width)).alias("slot"))
         .agg(F.min("ms").alias("first_ms"), F.max("ms").alias("last_ms"), F.count(F.lit(1)).alias("n"))

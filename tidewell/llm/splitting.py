@@ -105,6 +105,11 @@ class Splitter:
             levels.append(level)
         cuts.append(len(text))
         levels.append(SECTION)
+        # cuts inside words change a count by a token or two, so a clear excess needs no exact count
+        estimates = np.diff(tokens_at[cuts])
+        estimates[1:] += self.overlap
+        if int(estimates.max()) > self.limit + 8 and len(text) > n:
+            return None
         pieces, start_before = [], 0
         for a, b, level in zip(cuts, cuts[1:], levels[1:], strict=False):
             start, repeated = self._overlap(text, a, start_before) if a else (0, 0)

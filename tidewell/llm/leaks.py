@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +23,7 @@ SEED = 20_160_104
 BLOCK_WORDS = 200_000
 
 _WORDS = regex.compile(r"[\p{L}\p{N}]+").findall
+_COLUMNS = ["doc_id", "item_id", "distance", "n_windows", "first_word", "last_word"]
 _END = np.array([-1], np.int64)
 SCHEMA = "doc_id bigint, item_id bigint, distance int, n_windows bigint, first_word bigint, last_word bigint"
 
@@ -251,15 +253,18 @@ def leaked_items(
     for block in item_blocks(items, item_id, item_text):
         shared = spark.sparkContext.broadcast(ItemIndex.build(block, passage))
 
-        def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for low in range(0, len(batch), 2_000):
-                    part = batch.iloc[low : low + 2_000]
-                    hits = shared.value.search([t if isinstance(t, str) else None for t in part["text"]])
-                    keys = part["doc_id"].astype("Int64").array[hits["text"].to_numpy(np.int64)]
-                    yield pd.DataFrame({"doc_id": keys, **{c: hits[c].to_numpy() for c in ("item_id", "distance", "n_windows", "first_word", "last_word")}})
-
-        results.append(corpus.mapInPandas(search, SCHEMA))
+                for low in range(0, batch.num_rows, 2_000):
+                    part = batch.slice(low, 2_000)
+                    hits = shared.value.search(part.column(1).to_pylist())
+                    if not len(hits):
+                        continue
+                    keys = part.column(0).take(pa.array(hits["text"].to_numpy(np.int64)))
+                    rest = [pa.array(hits[c].to_numpy(np.int32 if c == "distance" else np.int64)) for c in _COLUMNS[1:]]
+                    yield pa.RecordBatch.from_arrays([keys, *rest], names=_COLUMNS)
+
+        results.append(corpus.mapInArrow(search, SCHEMA))
     if not results:
         return spark.createDataFrame([], SCHEMA)
     found = results[0]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import sqlite3
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from tidewell.engine import Engine
 from tidewell.plans.dialect import parse_one
 from tidewell.plans.lowering import SNAPSHOT
-from tidewell.runtime import micros
+from tidewell.runtime import micros, scratch_path
 from tidewell.streaming.requery import replay
 
 #: name: query in the dialect, the same in DuckDB's (None where the text is the same)
@@ -184,5 +186,51 @@ WINDOWED: dict[str, tuple[Callable, str]] = {
     ),
 }
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: _batch(q) for n, (q, _) in BATCH.items()} | {n: f for n, (f, _) in WINDOWED.items()}
-SQL: dict[str, str] = {n: s or q for n, (q, s) in BATCH.items()} | {n: s for n, (_, s) in WINDOWED.items()}
+# --- sources: tables are written out in another format to the shared folder and read back
+
+
+def _from_file(text: str, table: str, form: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        frame, path = spark.read.parquet(f"{sf_dir}/{table}.parquet"), f"{scratch_path(spark, form)}.{form}"
+        if form == "csv":
+            frame.write.option("header", True).csv(path)
+        else:
+            frame.write.option("ignoreNullFields", False).json(path)
+        return Engine(spark).add_source("t", path).sql(text)
+
+    return run
+
+
+def _sqlite_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of nations, which has the same few rows at every scale, as a SQLite table next to the others."""
+    folder = scratch_path(spark, "sqlite").removeprefix("file://").removeprefix("file:")
+    os.makedirs(folder)
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name", "n_regionkey").collect()]
+    with sqlite3.connect(f"{folder}/nations.db") as db:
+        db.execute("CREATE TABLE nations (n_nationkey INTEGER, n_name TEXT, n_regionkey INTEGER)")
+        db.executemany("INSERT INTO nations VALUES (?, ?, ?)", rows)
+    engine = _engine(spark, sf_dir, ["customer"]).add_source("n", f"sqlite://{folder}/nations.db?table=nations")
+    return engine.sql("SELECT n.n_name, COUNT(*) AS customers, SUM(n.n_regionkey) / 2 AS halves FROM customer c JOIN n ON c.c_nationkey = n.n_nationkey GROUP BY n.n_name")
+
+
+SOURCES: dict[str, tuple[Callable, str]] = {
+    "csv_source": (
+        _from_file("SELECT p_partkey, p_name, p_size / 4 AS quarter, p_retailprice FROM t WHERE p_size > 10", "part", "csv"),
+        "SELECT p_partkey::DOUBLE AS p_partkey, p_name, p_size / 4.0::DOUBLE AS quarter, p_retailprice FROM part WHERE p_size > 10",
+    ),
+    "json_source": (
+        _from_file("SELECT event_id, event_type, value * 2 AS twice, LENGTH(props) > 2 AS filled FROM t WHERE value IS NOT NULL", "events", "json"),
+        "SELECT event_id::DOUBLE AS event_id, event_type, value * 2 AS twice, CAST(length(props) > 2 AS BIGINT) AS filled FROM events WHERE value IS NOT NULL",
+    ),
+    "json_containers": (
+        _from_file("SELECT vec_id, label, LENGTH(embedding) > 2 AS filled, JSON_ARRAY_LENGTH(embedding) AS n FROM t", "embeddings", "json"),
+        "SELECT vec_id::DOUBLE AS vec_id, label::DOUBLE AS label, 1 AS filled, len(embedding) AS n FROM embeddings",
+    ),
+    "sqlite_source": (
+        _sqlite_source,
+        "SELECT n_name, count(*) AS customers, sum(n_regionkey)::BIGINT // 2 AS halves FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name",
+    ),
+}
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: _batch(q) for n, (q, _) in BATCH.items()} | {n: f for n, (f, _) in (WINDOWED | SOURCES).items()}
+SQL: dict[str, str] = {n: s or q for n, (q, s) in BATCH.items()} | {n: s for n, (_, s) in (WINDOWED | SOURCES).items()}

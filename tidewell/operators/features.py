@@ -96,6 +96,8 @@ def maintain_features(stream: DataFrame, table: FeatureTable, checkpoint: str) -
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
         "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+        "spark.sql.streaming.stateStore.rocksdb.compression": "zstd",
+        "spark.sql.streaming.stateStore.compression.codec": "zstd",
         "spark.sql.streaming.noDataMicroBatches.enabled": "false",
         "spark.sql.streaming.minBatchesToRetain": "2",
     }

@@ -4,7 +4,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from tidewell.llm.bpe import TOKENIZERS, VOCABULARY, CorpusEncoder
-from tidewell.llm.splitting import LEVELS, Splitter, boundaries, split_documents
+from tidewell.llm.splitting import LEVELS, MARK, WORD, Splitter, boundaries, split_documents, weak_boundaries
 
 PATH = f"{TOKENIZERS}/{VOCABULARY}"
 
@@ -71,7 +71,8 @@ def test_boundaries():
     found = {at: LEVELS[level] for at, level in boundaries(text).items()}
     assert found[text.index(" Two")] == "sentence" and found[text.index("Three")] == "paragraph" and found[text.index("```")] == "code"
     assert found[text.index("end,")] == "code" and found[text.index("---")] == "section" and found[text.index("y\n")] == "line"
-    assert found[text.index(" x\n")] == "word" and 0 not in found and len(text) not in found
+    assert 0 not in found and len(text) not in found
+    assert weak_boundaries(text, 1, len(text))[text.index(" x\n")] == WORD and set(weak_boundaries('{"a":1,"b":2}', 0, 12).values()) == {MARK}
     assert boundaries("") == {} and boundaries("word") == {}
 
 

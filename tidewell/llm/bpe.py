@@ -156,6 +156,7 @@ class CorpusEncoder:
         self.place: dict[str, int] = {}
         self.ids = np.zeros(0, np.int64)
         self.starts = np.zeros(1, np.int64)
+        self.sizes: list[int] = []
 
     def words(self, texts: Iterable[str | None]) -> list[np.ndarray]:
         """The words of each text as places in the table of known words, which afterwards holds them all."""
@@ -174,6 +175,7 @@ class CorpusEncoder:
             ids, offsets = self.table.replay(fresh)
             self.starts = np.concatenate([self.starts, offsets[1:] + len(self.ids)])
             self.ids = np.concatenate([self.ids, ids])
+            self.sizes += np.diff(offsets).tolist()
         return found
 
     def gather(self, words: np.ndarray) -> np.ndarray:
@@ -187,11 +189,8 @@ class CorpusEncoder:
 
     def count(self, text: str) -> int:
         """The number of tokens of a short text."""
-        total = 0
+        place, sizes, total = self.place, self.sizes, 0
         for word in self._split(text):
-            at = self.place.get(word)
-            if at is None:
-                total += len(self.table.merge_word(word.encode("utf-8", "surrogatepass")))
-            else:
-                total += int(self.starts[at + 1] - self.starts[at])
+            at = place.get(word)
+            total += len(self.table.merge_word(word.encode("utf-8", "surrogatepass"))) if at is None else sizes[at]
         return total

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
@@ -26,13 +27,30 @@ _MARKS = (
     (PARAGRAPH, regex.compile(r"\n(?:[ \t\r]*\n)+|</p>|<p>(?=)|</(?:ul|ol|table|blockquote|div)>", regex.I)),
     (LINE, regex.compile(r"\r?\n|\r|<br ?/?>|</li>|</tr>", regex.I)),
     (SENTENCE, regex.compile(r"[.!?…]+[\"'”’)\]]*(?=\s)|[。！？]+[”’」』）]*")),
+)
+
+
+#: Weak marks stand nearly everywhere, so they are sought only where there is no other.
+_WEAK = (
     (WORD, regex.compile(r"(?<=\S)(?=[ \t　])")),
     (MARK, regex.compile(r"(?<=[^\w\s])(?=[\w\"'])")),  # where nothing but punctuation parts words, as in dense JSON
 )
 
 
+def weak_boundaries(text: str, low: int, high: int) -> dict[int, int]:
+    """The word ends between two positions, or without any the places where punctuation parts words."""
+    for level, mark in _WEAK:
+        found = {m.start(): level for m in mark.finditer(text, low, min(high + 1, len(text))) if 0 < m.start() <= high and m.start() < len(text)}
+        if found:
+            return found
+    return {}
+
+
 def boundaries(text: str) -> dict[int, int]:
-    """The strength of each natural boundary, by character position. Sentences and paragraphs inside code don't count as such."""
+    """The strength of each natural boundary from sentences on, by character position.
+
+    Sentences and sections inside code don't count, paragraphs there count as lines.
+    """
     spans = [m.span() for m in _CODE_SPAN.finditer(text)]
     starts, ends = [a for a, _ in spans], [b for _, b in spans]
     found: dict[int, int] = {}
@@ -91,12 +109,14 @@ class Splitter:
         cuts, levels = [0], [SECTION]
         for k in range(1, n):
             target = self.overlap + k * step
-            low = int(np.searchsorted(tokens_at, target - reach, "left"))
-            high = int(np.searchsorted(tokens_at, target + reach, "right")) - 1
-            near = [at for at in places[bisect_left(places, max(low, cuts[-1] + 1)) : bisect_right(places, min(high, len(text) - 1))]]
+            # whole numbers, as a search for a fraction would first copy the array
+            low = max(int(np.searchsorted(tokens_at, math.ceil(target - reach), "left")), cuts[-1] + 1)
+            high = min(int(np.searchsorted(tokens_at, math.floor(target + reach), "right")), len(text)) - 1
+            near = {p: marks[p] for p in places[bisect_left(places, low) : bisect_right(places, high)]} or weak_boundaries(text, low, high)
             if near:
-                at = max(near, key=lambda p: (marks[p], -abs(int(tokens_at[p]) - target), -p))
-                level = marks[at]
+                tokens = dict(zip(near, tokens_at[list(near)].tolist(), strict=True))
+                at = max(near, key=lambda p: (near[p], -abs(tokens[p] - target), -p))
+                level = near[at]
             else:
                 at, level = self._nearest(whole, tokens_at, target, cuts[-1], len(text)), CHARACTER
                 if at is None:
@@ -123,7 +143,7 @@ class Splitter:
     @staticmethod
     def _nearest(whole: list[int], tokens_at: np.ndarray, target: float, after: int, end: int) -> int | None:
         """The place between whole characters that is nearest to the target."""
-        at = int(np.searchsorted(tokens_at, target, "left"))
+        at = int(np.searchsorted(tokens_at, math.ceil(target), "left"))
         k = bisect_left(whole, at)
         options = [p for p in whole[max(0, k - 1) : k + 1] if after < p < end]
         if not options:

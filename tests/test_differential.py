@@ -80,6 +80,20 @@ def test_expressions(both, line):
     same(both, "SELECT id, " + ", ".join(f"{e} AS c{k}" for k, e in enumerate(parts)) + " FROM t")
 
 
+DATES = [(1, "2024-01-31"), (2, "2024-02-29 23:59:59"), (3, "1969-12-31T00:00:01Z"), (4, "x"), (5, None), (6, "2023-12-31 12:30"), (7, "2024-03-10 01:02:03.5"), (8, "2024-02-29T23:59:59+02:00")]
+
+
+def test_date_columns(spark):
+    db = sqlite3.connect(":memory:")
+    db.execute("CREATE TABLE t (id INTEGER, d TEXT)")
+    db.executemany("INSERT INTO t VALUES (?, ?)", DATES)
+    engine = Engine(spark).add_frame("t", spark.createDataFrame(DATES, "id bigint, d string"))
+    moves = ["", ", '+1 month'", ", '-13 months'", ", '+1 year'", ", 'start of month', '-1 day'", ", 'start of year'", ", '+36 hours', '+90 minutes'", ", '-5 seconds', 'start of day'", ", '+1.5 days'", ", 'weekday 1'"]
+    forms = ["DATE(d{})", "DATETIME(d{})", "TIME(d{})", "STRFTIME('%Y|%m/%d %H:%M:%S %j', d{})", "STRFTIME('%w %s', d{})", "JULIANDAY(d{})", "UNIXEPOCH(d{})"]
+    parts = [f.format(m) for f in forms for m in moves if has(db, f.format(m))]
+    same((engine, db), "SELECT id, " + ", ".join(f"{e} AS c{k}" for k, e in enumerate(parts)) + " FROM t")
+
+
 QUERIES = [
     "SELECT COUNT(*) AS n, COUNT(i) AS c, SUM(i) AS s, AVG(i) AS a, MIN(r) AS lo, MAX(s) AS hi, TOTAL(i) AS t, SUM(d) AS x FROM t",
     "SELECT COUNT() AS n FROM t WHERE i > 1000",

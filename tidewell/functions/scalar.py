@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 import sqlite3
 from collections.abc import Callable
 
@@ -368,9 +369,34 @@ def _instant(v: Value) -> Column | None:
     return F.when(v.col.rlike(_ISO_DATE), bare.try_cast("timestamp_ntz")) - F.make_dt_interval(mins=minutes)
 
 
+_MODIFIER = re.compile(r"([+-]?[0-9]{1,6}) (day|hour|minute|second|month|year)s?\Z|start of (day|month|year)\Z")
+
+
+def _modified(t: Column, modifiers: list[Value]) -> Column | None:
+    """A time after literal modifiers, or None if one of them isn't among those that built-in expressions can say.
+
+    Months and years keep the day of the month and run over: a month after 31 January is 2 or 3 March.
+    """
+    for v in modifiers:
+        m = _MODIFIER.match(v.literal.strip().lower()) if isinstance(v.literal, str) else None
+        if m is None:
+            return None
+        day = t.cast("date")
+        if m[3]:
+            t = (day if m[3] == "day" else F.trunc(day, m[3])).cast("timestamp_ntz")
+        elif m[2] in ("month", "year"):
+            months = int(m[1]) * (12 if m[2] == "year" else 1)
+            moved = F.date_add(F.add_months(F.trunc(day, "month"), months), F.dayofmonth(day) - 1)
+            t = moved.cast("timestamp_ntz") + (t - day.cast("timestamp_ntz"))
+        else:
+            t = t + F.make_dt_interval(**{{"day": "days", "hour": "hours", "minute": "mins", "second": "secs"}[m[2]]: F.lit(int(m[1]))})
+    return t
+
+
 def _dated(name: str, kind: str, build: Callable[[Column], Column]):
     def made(a: list[Value]) -> Value:
-        at = _instant(a[0]) if len(a) == 1 else None
+        at = _instant(a[0]) if a and not all(v.literal is not None for v in a) else None
+        at = at if at is None else _modified(at, a[1:])
         if at is None:
             return _ENGINE_DATES[name]([Value(F.date_format(a[0].col, "yyyy-MM-dd HH:mm:ss.SSS"), TEXT), *a[1:]] if a and a[0].kind == TIME else a)
         return Value(build(at), kind)
@@ -378,7 +404,6 @@ def _dated(name: str, kind: str, build: Callable[[Column], Column]):
     return made
 
 
-_EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
 function("DATE", least=0, most=_MANY)(_dated("DATE", TEXT, lambda t: F.date_format(t, "yyyy-MM-dd")))
 function("TIME", least=0, most=_MANY)(_dated("TIME", TEXT, lambda t: F.date_format(t, "HH:mm:ss")))
 function("DATETIME", least=0, most=_MANY)(_dated("DATETIME", TEXT, lambda t: F.date_format(t, "yyyy-MM-dd HH:mm:ss")))
@@ -398,8 +423,9 @@ _FORMATS = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S":
 @function("STRFTIME", least=1, most=_MANY)
 def _strftime(a):
     form = a[0].literal
-    if len(a) == 2 and isinstance(form, str):
+    if len(a) >= 2 and isinstance(form, str) and not all(v.literal is not None for v in a):
         parts, at, rest = [], _instant(a[1]), form
+        at = at if at is None else _modified(at, a[2:])
         while rest and at is not None:
             if rest[:2] in _FORMATS:
                 parts.append(_FORMATS[rest[:2]])

@@ -144,6 +144,20 @@ def feature_rows(
     return table.current()
 
 
+def latest_us(rows: DataFrame) -> int | None:
+    """The time of the last event of all entities, from which recency may be counted; null without events."""
+    return rows.select(F.max(F.array_max(F.transform(F.map_values("cells"), lambda cell: cell["last_us"])))).first()[0]
+
+
+def with_recency(rows: DataFrame, now_us: int | None) -> DataFrame:
+    """The feature rows with ``n``, ``since_s`` (seconds from the last event to ``now_us``) and ``total`` for each type."""
+    now = F.lit(now_us).cast("bigint")
+    cells = F.transform_values(
+        "cells", lambda _, cell: F.struct(cell["n"].alias("n"), ((now - cell["last_us"]) / F.lit(1e6)).alias("since_s"), cell["total"].alias("total"))
+    )
+    return rows.withColumn("cells", cells)
+
+
 def feature_column(cells: Column, kind: str, now_us: Column) -> dict[str, Column]:
     """The three features of one type as plain columns: count, seconds since the last event, total."""
     cell = F.try_element_at(cells, F.lit(kind))

@@ -116,19 +116,30 @@ def _event_cells(events: DataFrame) -> DataFrame:
     return rows.dropna(subset=["event_id", "entity", "type", "us"])
 
 
+def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.feature_rows(spark, f"{sf_dir}/user_events.parquet", _event_cells)
+
+
 def p5_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each user; ``cells`` has count, time of the last event (microseconds) and total amount by action."""
-    return features.feature_rows(spark, f"{sf_dir}/user_events.parquet", _event_cells).withColumnRenamed("entity", "user_id")
+    """One row for each user; ``cells`` has by action the count, the seconds from the last such event to the table's last event, and the total amount."""
+    rows = _features(spark, sf_dir)
+    return features.with_recency(rows, features.latest_us(rows)).withColumnRenamed("entity", "user_id")
+
+
+def p5_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells of the feature table in long form."""
+    rows = p5_features(spark, sf_dir).select("user_id", F.explode("cells").alias("action", "cell"))
+    return rows.select("user_id", "action", "cell.n", F.round("cell.since_s", 3).alias("since_s"), F.round("cell.total", 2).alias("total"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = F.map_filter("cells", lambda _, cell: cell["n"] > 0)
-    return p5_features(spark, sf_dir).select("user_id", F.explode(F.map_keys(cells)).alias("action"))
+    return _features(spark, sf_dir).select(F.col("entity").alias("user_id"), F.explode(F.map_keys(cells)).alias("action"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_rejects, p1_users, p1_products, p2_found, p2_counts, p3_found, p3_user_totals, p4_found, p4_sessions, p5_found, p5_features)
+    for f in (p1_found, p1_rejects, p1_users, p1_products, p2_found, p2_counts, p3_found, p3_user_totals, p4_found, p4_sessions, p5_found, p5_features, p5_cells)
 }
 
 _Q = '"([^"]|"")*"'
@@ -214,5 +225,10 @@ SQL = {
     "p4_found": _SESSIONS + "SELECT user_id, min(ms) AS session_start_ms, max(ms) AS session_end_ms FROM numbered GROUP BY user_id, s",
     "p4_sessions": _SESSIONS
     + "SELECT user_id, min(ms) AS session_start_ms, max(ms) AS session_end_ms, max(ms) - min(ms) AS duration_ms, count(*) AS n_events FROM numbered GROUP BY user_id, s",
+    "p5_cells": _EVENTS.replace("lower(trim(action", "any_value(amount) AS amount, lower(trim(action").replace("SELECT DISTINCT", "SELECT").replace(
+        "AND event_id IS NOT NULL", "AND event_id IS NOT NULL GROUP BY event_id, user_id, ts, action"
+    )
+    + """, c AS (SELECT user_id, action, count(*) AS n, max(us) AS last_us, sum(coalesce(amount, 0)) AS total FROM ok WHERE action <> '' GROUP BY user_id, action)
+SELECT user_id, action, n, round(((SELECT max(last_us) FROM c) - last_us) / 1e6, 3) AS since_s, round(total, 2) AS total FROM c""",
     "p5_found": _EVENTS + "SELECT DISTINCT user_id, action FROM ok WHERE action <> ''",
 }

@@ -109,6 +109,13 @@ BATCH: dict[str, tuple[str, str | None]] = {
         "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS d, strftime(o_orderdate, '%Y-%m') AS ym, CAST(epoch(o_orderdate) AS BIGINT) AS e, '2024-03-02' AS over FROM orders"),
     "fn_json": ("SELECT event_id, JSON_VALID(props) AS ok, JSON_ARRAY(event_type, user_id) AS a, JSON_OBJECT('u', user_id) AS o FROM events",
         "SELECT event_id, 1 AS ok, '[\"' || event_type || '\",' || user_id || ']' AS a, '{\"u\":' || user_id || '}' AS o FROM events"),
+    "fn_date_modifiers": ("SELECT o_orderkey, DATE(o_orderdate, '+7 days') AS d, DATE(o_orderdate, 'start of month') AS m, PRINTF('%05d', o_custkey) AS p FROM orders WHERE o_orderkey % 4 = 0",
+        "SELECT o_orderkey, strftime(o_orderdate + INTERVAL 7 DAY, '%Y-%m-%d') AS d, strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS m, printf('%05d', o_custkey) AS p FROM orders WHERE o_orderkey % 4 = 0"),
+    "fn_json_extract": ("SELECT event_id, JSON_EXTRACT(props, '$.k') + 1 AS next, JSON_EXTRACT(props, '$.k') > 50 AS big, JSON_EXTRACT(props, '$.none') IS NULL AS none FROM events",
+        "SELECT event_id, CAST(json_extract_string(props, '$.k') AS DOUBLE) + 1 AS next, CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) > 50 AS BIGINT) AS big, 1 AS none FROM events"),
+    "fn_text_more": ("SELECT n_nationkey, UNICODE(n_name) AS u, CHAR(65, 233) AS c, GLOB('[A-F]*', n_name) AS g, QUOTE(n_name) AS q, CONCAT_WS('-', n_name, NULL, n_regionkey) AS w, SUBSTR(n_name, -4, 2) AS s FROM nation",
+        "SELECT n_nationkey, unicode(n_name) AS u, 'Aé' AS c, CAST((n_name[1] BETWEEN 'A' AND 'F') AS BIGINT) AS g, chr(39) || n_name || chr(39) AS q, n_name || '-' || n_regionkey AS w, CASE WHEN length(n_name) >= 4 THEN substr(n_name, -4, 2) ELSE NULL END AS s FROM nation"),
+    "join_left_agg": ("SELECT r.r_name, COUNT(s.s_suppkey) AS n, MAX(s.s_acctbal) AS top FROM region r LEFT JOIN nation n ON r.r_regionkey = n.n_regionkey LEFT JOIN supplier s ON n.n_nationkey = s.s_nationkey AND s.s_acctbal > 9000 GROUP BY r.r_name", None),
 }
 BATCH["fn_date"] = tuple(q.replace("AS over ", "AS later ") for q in BATCH["fn_date"])
 
@@ -180,6 +187,14 @@ WINDOWED: dict[str, tuple[Callable, str]] = {
         _windowed("SELECT event_type, COUNT(*) AS n FROM events GROUP BY event_type OVER 1h", {"events": None}),
         f"WITH ev AS (SELECT *, epoch_us(ts) // {_HOUR} AS win FROM events) SELECT a.event_id AS snapshot, b.event_type, count(*) AS n FROM ev a JOIN ev b ON a.win = b.win AND b.event_id <= a.event_id GROUP BY ALL",
     ),
+    "stream_left_static": (
+        _windowed("SELECT e.event_id, c.c_name FROM events e LEFT JOIN customer c ON e.user_id = c.c_custkey AND c.c_acctbal > 0 WHERE e.event_type = 'purchase' OVER 30m EVERY 30m", {"events": None}, ("customer",)),
+        f"WITH {_tick_sql(_HOUR // 2, _HOUR // 2)} SELECT tick AS snapshot, event_id, c_name FROM ticks JOIN ev ON ev.win = ticks.win AND us <= tick LEFT JOIN customer ON user_id = c_custkey AND c_acctbal > 0 WHERE event_type = 'purchase'",
+    ),
+    "stream_distinct": (
+        _windowed("SELECT DISTINCT user_id FROM events OVER 2h EVERY 1h", {"events": None}),
+        f"WITH {_tick_sql(_HOUR, 2 * _HOUR)} SELECT DISTINCT tick AS snapshot, user_id FROM ticks JOIN ev ON ev.win = ticks.win AND us <= tick",
+    ),
     "stream_stream": (
         _windowed("SELECT a.event_id AS click, b.event_id AS bought FROM clicks a JOIN buys b ON a.user_id = b.user_id OVER 6h EVERY 3h", {"clicks": "click", "buys": "purchase"}),
         f"WITH span AS (SELECT epoch_us(min(ts)) AS lo, epoch_us(max(ts)) AS hi FROM events WHERE event_type IN ('click', 'purchase')), ticks AS (SELECT DISTINCT tick, tick - tick % {6 * _HOUR} AS win FROM (SELECT unnest(range(lo + {3 * _HOUR}, hi, {3 * _HOUR})) AS tick FROM span UNION ALL SELECT hi FROM span)), ev AS (SELECT *, epoch_us(ts) AS us, epoch_us(ts) - epoch_us(ts) % {6 * _HOUR} AS win FROM events) SELECT tick AS snapshot, a.event_id AS click, b.event_id AS bought FROM ticks JOIN ev a ON a.win = ticks.win AND a.us <= tick AND a.event_type = 'click' JOIN ev b ON b.win = ticks.win AND b.us <= tick AND b.event_type = 'purchase' AND a.user_id = b.user_id",

@@ -22,7 +22,10 @@ def load_csv(spark: SparkSession, path: str) -> DataFrame:
     column, and the empty text elsewhere. Rows with another number of fields than the header are
     dropped. An empty file has no columns and no rows, a file with a header only has string columns.
     """
-    reader = spark.read.option("header", True).option("mode", "DROPMALFORMED").option("multiLine", True).option("escape", '"')
+    # a record goes over several lines only if some line has an odd number of quotes; else files are split between tasks
+    quotes = F.char_length("value") - F.char_length(F.replace("value", F.lit('"'), F.lit("")))
+    spanning = not spark.read.text(path).where(quotes % 2 == 1).limit(1).isEmpty()
+    reader = spark.read.option("header", True).option("mode", "DROPMALFORMED").option("multiLine", spanning).option("escape", '"').option("columnPruning", False)
     raw = reader.csv(path, inferSchema=False)
     if not raw.columns:
         return spark.createDataFrame([], "struct<>")

@@ -168,8 +168,8 @@ _DAY = 24 * _HOUR
 _WEEK_SHIFT = 345_600_000_000
 WINDOWED: dict[str, tuple[Callable, str]] = {
     "every_ticks": (
-        _windowed("SELECT event_type, COUNT(*) AS n, SUM(value) AS total FROM events GROUP BY event_type OVER 1h EVERY 20m", {"events": None}),
-        f"WITH {_tick_sql(_HOUR // 3, _HOUR)} SELECT tick AS snapshot, event_type, count(*) AS n, sum(value) AS total FROM ticks JOIN ev ON ev.win = ticks.win AND us <= tick GROUP BY tick, event_type",
+        _windowed("SELECT event_type, COUNT(*) AS n, ROUND(SUM(value), 2) AS total FROM events GROUP BY event_type OVER 1h EVERY 20m", {"events": None}),
+        f"WITH {_tick_sql(_HOUR // 3, _HOUR)} SELECT tick AS snapshot, event_type, count(*) AS n, round(sum(value), 2) AS total FROM ticks JOIN ev ON ev.win = ticks.win AND us <= tick GROUP BY tick, event_type",
     ),
     "tumbling_count": (
         _windowed("SELECT COUNT(*) AS n, MAX(value) AS top FROM events WHERE event_type = 'error' OVER 24h EVERY 12h", {"events": None}),

@@ -443,7 +443,7 @@ def _strftime(a):
 # --- JSON
 
 
-def _quoted_json(v: Value) -> Column:
+def json_piece(v: Value) -> Column:
     """The value as a piece of JSON text."""
     if v.kind == NULL:
         return F.lit("null")
@@ -454,19 +454,19 @@ def _quoted_json(v: Value) -> Column:
 
 @function("JSON_QUOTE")
 def _json_quote(a):
-    return Value(_quoted_json(a[0]), TEXT, "json")
+    return Value(json_piece(a[0]), TEXT, "json")
 
 
 @function("JSON_ARRAY", least=0, most=_MANY)
 def _json_array(a):
-    return Value(F.concat(F.lit("["), F.array_join(F.array(*map(_quoted_json, a)), ",") if a else F.lit(""), F.lit("]")), TEXT, "json")
+    return Value(F.concat(F.lit("["), F.array_join(F.array(*map(json_piece, a)), ",") if a else F.lit(""), F.lit("]")), TEXT, "json")
 
 
 @function("JSON_OBJECT", least=0, most=_MANY)
 def _json_object(a):
     if len(a) % 2:
         raise ValueError("JSON_OBJECT takes names and values in pairs")
-    pairs = [F.concat(_quoted_json(Value(text(k), TEXT)), F.lit(":"), _quoted_json(v)) for k, v in zip(a[::2], a[1::2], strict=True)]
+    pairs = [F.concat(json_piece(Value(text(k), TEXT)), F.lit(":"), json_piece(v)) for k, v in zip(a[::2], a[1::2], strict=True)]
     return Value(F.concat(F.lit("{"), F.array_join(F.array(*pairs), ",") if pairs else F.lit(""), F.lit("}")), TEXT, "json")
 
 

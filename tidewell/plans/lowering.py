@@ -189,12 +189,12 @@ class Lowering:
                 raise QueryError(f"{name}() takes a literal separator")
             parts = F.array_sort(F.collect_list(values.text(first)))  # any order will do; sorted, it is the same each time
             return F.when(F.size(parts) > 0, F.array_join(parts, between)), TEXT
-        pieces = scalar._quoted_json(first)
+        pieces = scalar.json_piece(first)
         if name == "JSON_GROUP_ARRAY":
             return F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list(pieces)), ","), F.lit("]")), TEXT
         if len(args) != 2:
             raise QueryError("wrong number of arguments to JSON_GROUP_OBJECT()")
-        pair = F.concat(scalar._quoted_json(Value(values.text(first), TEXT)), F.lit(":"), scalar._quoted_json(args[1]))
+        pair = F.concat(scalar.json_piece(Value(values.text(first), TEXT)), F.lit(":"), scalar.json_piece(args[1]))
         return F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list(pair)), ","), F.lit("}")), TEXT
 
     # --- relations

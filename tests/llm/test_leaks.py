@@ -94,6 +94,9 @@ def test_empty_tables(spark):
     d, i = spark.createDataFrame([(1, "a b")], "doc_id bigint, text string"), spark.createDataFrame([(1, "a b")], "item_id bigint, text string")
     assert leaked_items(d.limit(0), i).count() == 0 and leaked_items(d, i.limit(0)).count() == 0
     assert [tuple(r) for r in leaked_items(d, i).collect()] == [(1, 1, 0, 1, 0, 1)]
+    large = 2**62 + 1
+    d = spark.createDataFrame([(None, "x a b"), (large, "a b a b"), (large, "a b")], "doc_id bigint, text string").coalesce(1)
+    assert {tuple(r) for r in leaked_items(d, i).collect()} == {(None, 1, 0, 1, 1, 2), (large, 1, 0, 2, 0, 3)}
 
 
 def test_edit_distance_in_a_band():

@@ -237,7 +237,7 @@ def leaked_items(
     for each six words. ``n_windows`` windows match, from ``first_word`` to ``last_word`` (0-based).
 
     Null and empty texts, texts without words, and null ids of items match nothing; an empty table on
-    either side gives no rows. Items that repeat each other are all reported. Repeated document ids
+    either side gives no rows. A null document id stays null. Items that repeat each other are all reported. Repeated document ids
     are brought to one row for each item, as are repeated item ids. Other columns are pruned.
 
     The windows of the items are embedded by several CGK walks over words, which map edit distance to

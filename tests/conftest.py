@@ -21,6 +21,9 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    from tidewell.runtime import drop_scratch
+
+    drop_scratch(session)
     session.stop()
 
 

@@ -27,9 +27,20 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_MADE: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path of its own below the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new path of its own below the shared folder. It stays, as lazy results may read it, until ``drop_scratch``."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete all that this process wrote to the shared folder; call it once the results have been used."""
+    while _MADE:
+        remove_path(spark, _MADE.pop())
 
 
 def remove_path(spark: SparkSession, path: str) -> None:

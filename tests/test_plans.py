@@ -2,9 +2,10 @@
 
 import re
 
+import duckdb
 import pytest
 
-from tidewell.plans.dialect_queries import BATCH, QUERIES
+from tidewell.plans.dialect_queries import BATCH, QUERIES, SQL
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -34,3 +35,14 @@ def test_topk_needs_no_full_sort(spark):
 @pytest.mark.parametrize("name", [n for n in BATCH if n not in ("fn_date_modifiers",)])
 def test_no_python_in_batch_queries(spark, name):
     assert not re.search("Python|Pandas|Arrow", plan(spark, name))
+
+
+@pytest.mark.parametrize("name", ["text_arith"])
+def test_expressions_are_computed_for_every_order(spark, name):
+    orders = "/root/testdata/sf0.01/orders.parquet"
+    frame = QUERIES[name](spark, "/root/testdata/sf0.01")
+    got = sorted(map(tuple, frame.collect()))
+    assert [k for k, *_ in got] == [k for (k,) in duckdb.sql(f"SELECT o_orderkey FROM '{orders}' ORDER BY 1").fetchall()]
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW orders AS SELECT * FROM '{orders}'")
+        assert got == sorted(db.execute(SQL[name]).fetchall())

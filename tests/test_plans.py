@@ -37,7 +37,7 @@ def test_no_python_in_batch_queries(spark, name):
     assert not re.search("Python|Pandas|Arrow", plan(spark, name))
 
 
-@pytest.mark.parametrize("name", ["text_arith"])
+@pytest.mark.parametrize("name", ["text_arith", "fn_date_modifiers"])
 def test_expressions_are_computed_for_every_order(spark, name):
     orders = "/root/testdata/sf0.01/orders.parquet"
     frame = QUERIES[name](spark, "/root/testdata/sf0.01")

@@ -109,8 +109,8 @@ BATCH: dict[str, tuple[str, str | None]] = {
         "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS d, strftime(o_orderdate, '%Y-%m') AS ym, CAST(epoch(o_orderdate) AS BIGINT) AS e, '2024-03-02' AS over FROM orders"),
     "fn_json": ("SELECT event_id, JSON_VALID(props) AS ok, JSON_ARRAY(event_type, user_id) AS a, JSON_OBJECT('u', user_id) AS o FROM events",
         "SELECT event_id, 1 AS ok, '[\"' || event_type || '\",' || user_id || ']' AS a, '{\"u\":' || user_id || '}' AS o FROM events"),
-    "fn_date_modifiers": ("SELECT o_orderkey, DATE(o_orderdate, '+7 days') AS d, DATE(o_orderdate, 'start of month') AS m, PRINTF('%05d', o_custkey) AS p FROM orders WHERE o_orderkey % 4 = 0",
-        "SELECT o_orderkey, strftime(o_orderdate + INTERVAL 7 DAY, '%Y-%m-%d') AS d, strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS m, printf('%05d', o_custkey) AS p FROM orders WHERE o_orderkey % 4 = 0"),
+    "fn_date_modifiers": ("SELECT o_orderkey, DATE(o_orderdate, '+7 days') AS d, DATE(o_orderdate, 'start of month') AS m, PRINTF('%05d', o_custkey) AS p FROM orders",
+        "SELECT o_orderkey, strftime(o_orderdate + INTERVAL 7 DAY, '%Y-%m-%d') AS d, strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS m, printf('%05d', o_custkey) AS p FROM orders"),
     "fn_json_extract": ("SELECT event_id, JSON_EXTRACT(props, '$.k') + 1 AS next, JSON_EXTRACT(props, '$.k') > 50 AS big, JSON_EXTRACT(props, '$.none') IS NULL AS none FROM events",
         "SELECT event_id, CAST(json_extract_string(props, '$.k') AS DOUBLE) + 1 AS next, CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) > 50 AS BIGINT) AS big, 1 AS none FROM events"),
     "fn_text_more": ("SELECT n_nationkey, UNICODE(n_name) AS u, CHAR(65, 233) AS c, GLOB('[A-F]*', n_name) AS g, QUOTE(n_name) AS q, CONCAT_WS('-', n_name, NULL, n_regionkey) AS w, SUBSTR(n_name, -4, 2) AS s FROM nation",

@@ -90,3 +90,28 @@ def test_operator(spark, count):
     assert split_documents(frame.limit(0)).count() == 0
     with pytest.raises(ValueError):
         Splitter(CorpusEncoder(PATH), 10, 5)
+
+
+RULERS = [
+    (ruler, lead, tail)
+    for ruler in ("=" * 64, " " + "=" * 65, "-" * 64, "." * 64, "_" * 64)
+    for lead in ("\n", "x", "")
+    for tail in ("\nword" + " word" * n + "</p>" for n in range(24, 31))
+]
+
+
+def test_the_overlap_reaches_past_long_rulers(count):
+    encoder = CorpusEncoder(PATH)
+    splitter, found = Splitter(encoder), {}
+    for ruler, lead, tail in RULERS:
+        text = "word " * 20 + lead + ruler + tail + "</div>" + " word" * 600
+        cut = text.index("</div>")
+        splitter.split(text, encoder.gather(encoder.words([text])[0]))
+        start, repeated = splitter._overlap(text, cut, 0)
+        best = max(n for s in range(cut) if (n := count(text[s:cut])) <= 32)
+        found[ruler, lead, tail] = (repeated, count(text[start:cut])) == (best, best)
+    assert all(found.values()), [k for k, right in found.items() if not right]
+    text = "word " * 2_000 + "\n" + "=" * 64 + "\nword" + " word" * 27 + "</p></div>"
+    splitter.split(text, encoder.gather(encoder.words([text])[0]))
+    start, repeated = splitter._overlap(text, text.index("</div>"), 0)
+    assert repeated == count(text[start : text.index("</div>")]) == 32

@@ -57,6 +57,9 @@ class MergeTable:
         self.n_bytes = np.zeros(max(ids.values()) + 1, np.int64)
         for token, i in ids.items():
             self.n_bytes[i] = len(token) if all(c in byte_of for c in token) else 0
+        #: The bytes of all tokens that aren't special, and how many the longest has.
+        self.tokens = frozenset(bytes(map(byte_of.__getitem__, token)) for token, i in ids.items() if self.n_bytes[i])
+        self.longest = max(map(len, self.tokens))
         self._dict = {(int(a), int(b)): (r, int(c)) for r, (a, b, c) in enumerate(zip(self.left, self.right, self.merged, strict=True))}
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,8 @@ from tidewell.llm.bpe import TOKENIZERS, VOCABULARY, CorpusEncoder
 from tidewell.llm.tokenizing import chunks
 
 LIMIT, OVERLAP = 512, 32
+#: Characters to both sides of a first guess where nearly every overlap is found.
+REACH = 48
 LEVELS = ("character", "mark", "word", "sentence", "line", "code", "paragraph", "section")
 CHARACTER, MARK, WORD, SENTENCE, LINE, CODE, PARAGRAPH, SECTION = range(8)
 SCHEMA = "doc_id bigint, piece_no int, n_pieces int, start_char int, body_char int, end_char int, n_tokens int, overlap_tokens int, boundary string, piece string"
@@ -87,7 +90,7 @@ class Splitter:
         if total <= self.limit:
             return [(0, 0, len(text), total, 0, SECTION)]
         width = np.array([1 if c < 0x80 else 2 if c < 0x800 else 3 if c < 0x10000 else 4 for c in map(ord, text)])
-        first_byte = np.append(0, np.cumsum(width))
+        first_byte = self._first_byte = np.append(0, np.cumsum(width))
         last_byte = np.cumsum(self.encoder.table.n_bytes[ids])
         # tokens that end at or before each character position
         self._tokens_at = np.searchsorted(last_byte, first_byte, "right")
@@ -154,13 +157,16 @@ class Splitter:
         """Where the repeated end of the piece before ``cut`` starts, and its tokens: the most that don't exceed the overlap.
 
         The search starts at the character where the text's own encoding has ``overlap`` tokens left,
-        and goes on to both sides as far as a start could still be better.
+        and goes on to both sides as far as a start could still be better: a later one by its bytes, as
+        they are as many tokens at most, an earlier one by the fewest tokens that could give its bytes.
         """
         if not self.overlap:
             return cut, 0
         at = max(int(np.searchsorted(self._tokens_at, self._tokens_at[cut] - self.overlap, "left")), least)
         best, most = cut, 0
-        for start in self._order(at, least, cut):
+        for start in chain(self._order(at, least, cut), self._farther(text, at, least, cut)):
+            if self._first_byte[cut] - self._first_byte[start] <= most:
+                continue
             n = self.encoder.count(text[start:cut])
             if most < n <= self.overlap:
                 best, most = start, n
@@ -169,15 +175,31 @@ class Splitter:
         return best, most
 
     @staticmethod
-    def _order(at: int, least: int, cut: int, reach: int = 48) -> Iterator[int]:
-        """Starts by nearness to ``at``, then, should none of them fit, all later ones."""
+    def _order(at: int, least: int, cut: int) -> Iterator[int]:
+        """Starts up to ``REACH`` characters from ``at``, the nearest first."""
         yield at
-        for d in range(1, reach + 1):
+        for d in range(1, REACH + 1):
             if at - d >= least:
                 yield at - d
             if at + d < cut:
                 yield at + d
 
+    def _farther(self, text: str, at: int, least: int, cut: int) -> Iterator[int]:
+        """All farther starts that the overlap may still fit, the nearest first."""
+        tokens, longest = self.encoder.table.tokens, self.encoder.table.longest
+        data = text[max(least, cut - self.overlap * longest) : cut].encode("utf-8", "surrogatepass")
+        fewest = [0]  # tokens that could give the last bytes, by their number
+        starts, start = [], cut
+        for k in range(len(data) - 1, -1, -1):
+            fewest.append(1 + min(fewest[-m] for m in range(1, min(longest, len(fewest)) + 1) if data[k : k + m] in tokens))
+            if data[k] & 0xC0 != 0x80:  # a character begins here
+                start -= 1
+                if fewest[-1] <= self.overlap and abs(start - at) > REACH:
+                    starts.append(start)
+            if min(fewest[-longest:]) > self.overlap:
+                break
+        yield from sorted(starts, key=lambda s: abs(s - at))
+
 
 def split_documents(
     documents: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: int = LIMIT, overlap: int = OVERLAP, keep_small: bool = False,

@@ -115,3 +115,19 @@ def test_the_overlap_reaches_past_long_rulers(count):
     splitter.split(text, encoder.gather(encoder.words([text])[0]))
     start, repeated = splitter._overlap(text, text.index("</div>"), 0)
     assert repeated == count(text[start : text.index("</div>")]) == 32
+
+
+def test_a_far_boundary_comes_before_a_cut_inside_a_word(count):
+    encoder = CorpusEncoder(PATH)
+    splitter, rng = Splitter(encoder), random.Random(3)
+    run = "".join(rng.choice("0123456789abcdef") for _ in range(2_000))
+    run = run[: max(n for n in range(0, 2_000, 5) if count(run[:n]) <= 400)]
+    for lead, kind in (("word " * 199 + "word\n", "line"), ("word " * 199, "word"), ("word" * 199 + ",", "mark")):
+        for text in (lead + run, lead + run + "\n" + "word " * 900):
+            pieces = splitter.split(text, ids := encoder.gather(encoder.words([text])[0]))
+            assert len(pieces) == 1 + -(-(len(ids) - 512) // 480)
+            assert LEVELS[pieces[0][5]] == kind and "character" not in {LEVELS[p[5]] for p in pieces}
+            assert all(count(text[start:end]) == n <= 512 for start, _, end, n, *_ in pieces)
+            assert "".join(text[body:end] for _, body, end, *_ in pieces) == text
+    # nothing natural: still cut between characters, in the fewest pieces
+    assert {LEVELS[p[5]] for p in splitter.split(run * 3, encoder.gather(encoder.words([run * 3])[0]))[:-1]} == {"character"}

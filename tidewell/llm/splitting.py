@@ -104,14 +104,19 @@ class Splitter:
                 return pieces
             n += 1
 
-    def _try(self, text: str, total: int, n: int, marks: dict[int, int], places: list[int], whole: list[int]):
-        """The pieces for ``n`` balanced targets, or None if one outgrows the limit."""
+    def _try(self, text: str, total: int, n: int, marks: dict[int, int], places: list[int], whole: list[int], far: bool = True):
+        """The pieces for ``n`` balanced targets, or None if one outgrows the limit.
+
+        A target without any boundary near is moved to one as far off as the limit allows, and the targets
+        after it are balanced anew; only if there is none, or these pieces fail, it goes between characters.
+        """
         step = (total - self.overlap) / n  # tokens that each piece adds, the first one the overlap besides
         reach = min(self.limit / 8, step / 3)
         tokens_at = self._tokens_at
-        cuts, levels = [0], [SECTION]
+        cuts, levels, moved = [0], [SECTION], False
+        from_, done = self.overlap, 0  # tokens and pieces from which the targets are counted
         for k in range(1, n):
-            target = self.overlap + k * step
+            target = from_ + (k - done) * step
             # whole numbers, as a search for a fraction would first copy the array
             low = max(int(np.searchsorted(tokens_at, math.ceil(target - reach), "left")), cuts[-1] + 1)
             high = min(int(np.searchsorted(tokens_at, math.floor(target + reach), "right")), len(text)) - 1
@@ -120,6 +125,10 @@ class Splitter:
                 tokens = dict(zip(near, tokens_at[list(near)].tolist(), strict=True))
                 at = max(near, key=lambda p: (near[p], -abs(tokens[p] - target), -p))
                 level = near[at]
+            elif far and (found := self._far(text, total, target, n - k, marks, places, cuts[-1])):
+                (at, level), moved = found, True
+                from_, done = int(tokens_at[at]), k
+                step = (total - from_) / (n - k)
             else:
                 at, level = self._nearest(whole, tokens_at, target, cuts[-1], len(text)), CHARACTER
                 if at is None:
@@ -131,18 +140,42 @@ class Splitter:
         # cuts inside words change a count by a token or two, so a clear excess needs no exact count
         estimates = np.diff(tokens_at[cuts])
         estimates[1:] += self.overlap
+        again = (lambda: self._try(text, total, n, marks, places, whole, False)) if moved else lambda: None
         if int(estimates.max()) > self.limit + 8 and len(text) > n:
-            return None
+            return again()
         pieces, start_before = [], 0
         for a, b, level in zip(cuts, cuts[1:], levels[1:], strict=False):
             start, repeated = self._overlap(text, a, start_before) if a else (0, 0)
             size = self.encoder.count(text[start:b])
             if size > self.limit and b - a > 1:
-                return None
+                return again()
             pieces.append((start, a, b, size, repeated, level))
             start_before = start
         return pieces
 
+    def _far(self, text: str, total: int, target: float, rest: int, marks: dict[int, int], places: list[int], after: int) -> tuple[int, int] | None:
+        """The strongest boundary, the nearest of equals, where the piece from ``after`` and ``rest`` more keep the limit."""
+        tokens_at, adds = self._tokens_at, self.limit - self.overlap
+        # the overlap may be short and cuts inside words change counts, so the range is a bit wider than what fits
+        low = max(int(np.searchsorted(tokens_at, total - rest * adds - 8, "left")), after + 1)
+        high = min(int(np.searchsorted(tokens_at, int(tokens_at[after]) + (adds if after else self.limit) + 8, "right")), len(text)) - 1
+        start = None
+
+        def fits(at: int) -> bool:
+            nonlocal start
+            if start is None:
+                start = self._overlap(text, after, 0)[0] if after else 0
+            if self.encoder.count(text[start:at]) > self.limit:
+                return False
+            return rest > 1 or self.encoder.count(text[self._overlap(text, at, 0)[0] :]) <= self.limit
+
+        strong = {p: marks[p] for p in places[bisect_left(places, low) : bisect_right(places, high)]}
+        for options in (strong, weak_boundaries(text, low, high)):
+            for at in sorted(options, key=lambda p: (-options[p], abs(int(tokens_at[p]) - target), p)):
+                if fits(at):
+                    return at, options[at]
+        return None
+
     @staticmethod
     def _nearest(whole: list[int], tokens_at: np.ndarray, target: float, after: int, end: int) -> int | None:
         """The place between whole characters that is nearest to the target."""
@@ -214,8 +247,9 @@ def split_documents(
     the piece ends (``section`` also at the text's end).
 
     The least number of pieces is computed, equal targets are placed, and each is moved to the strongest
-    boundary within an eighth of the limit (the nearest of equally strong ones), or without any to the
-    nearest whole character; if then a piece exceeds the limit, a piece is added and all targets are
+    boundary within an eighth of the limit (the nearest of equally strong ones), without any to one
+    farther off where the same number of pieces still keeps the limit, or without these to the nearest
+    whole character; if then a piece exceeds the limit, a piece is added and all targets are
     placed anew. A piece of one character may exceed a limit that is below the character's own tokens.
 
     Texts within the limit, null and empty ones give no rows, or with ``keep_small`` one piece each (none

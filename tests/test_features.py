@@ -64,3 +64,24 @@ def test_empty_input_and_wide_columns(spark, tmp_path):
 def test_types_are_compared_bare(spark):
     frame = spark.createDataFrame([(" \tLog In ",), ("  ",), ("",), (None,), ("a\n",)], "x string")
     assert [r[0] for r in frame.select(normal_type(F.col("x"))).collect()] == ["log in", None, None, None, "a\n"]
+
+
+def test_a_stopped_stream_is_carried_on(spark, tmp_path):
+    rows, events, state = make(600), str(tmp_path / "events.parquet"), f"file://{tmp_path}/state"
+    for begin, end in ((0, 200), (200, 400), (400, len(rows))):
+        spark.createDataFrame(rows[begin:end], SCHEMA).repartition(6, "type").write.mode("append").parquet(events)
+        got = flat(feature_rows(spark, events, prepare, bytes_per_batch=1, state=state))
+        assert got == brute(rows[:end])
+    assert flat(feature_rows(spark, events, prepare, state=state)) == brute(rows)  # nothing new
+
+
+def test_an_opened_table_has_what_is_complete(spark):
+    path, cell = scratch_path(spark, "table"), "entity bigint, type string, n bigint, last_us bigint, total double"
+    for batch in range(9):  # another table each time, as after a lost driver
+        table = FeatureTable(spark, path, compact_after=3)
+        table.upsert(spark.createDataFrame([(batch % 4, f"t{batch}", batch + 1, batch, 1.0), (9, "x", batch + 1, batch, 2.0)], cell), batch)
+    kept = flat(table.current())
+    assert len(kept) == 10 and kept[9, "x"] == (9, 8, 2.0)
+    spark.range(1).selectExpr("9 AS entity").write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{path}/version-00000009")
+    again = FeatureTable(spark, path, compact_after=3)
+    assert (again.base, again.versions) == (table.base, table.versions) and flat(again.current()) == kept

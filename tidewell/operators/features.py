@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.runtime import remove_path, scratch_path
+from tidewell.runtime import child_names, remove_path, scratch_path
 
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 CELL = "struct<n:bigint,last_us:bigint,total:double>"
@@ -35,13 +37,14 @@ class FeatureTable:
     A row's version is its batch; the newest version of an entity counts. A batch that is run again after a
     failure overwrites its own folder, so an upsert happens once. When more than ``compact_after`` batches lie
     there, the next one first merges them to one base; the folders that the base replaces are dropped after it
-    is complete.
+    is complete. What lies complete under the path when a table is opened is carried on from.
     """
 
     def __init__(self, spark: SparkSession, path: str, compact_after: int = 8):
         self.spark, self.path, self.compact_after = spark, path, compact_after
-        self.base: int | None = None
-        self.versions: list[int] = []
+        done = {kind: [int(f.rpartition("-")[2]) for f in child_names(spark, path, "_SUCCESS") if re.fullmatch(rf"{kind}-[0-9]{{8,}}", f)] for kind in ("base", "version")}
+        self.base: int | None = max(done["base"], default=None)
+        self.versions: list[int] = sorted(v for v in done["version"] if self.base is None or v > self.base)
         self.schema = f"entity bigint, cells map<string,{CELL}>, version bigint"
 
     def _folders(self, below: int | None = None) -> list[str]:
@@ -120,7 +123,7 @@ def maintain_features(stream: DataFrame, table: FeatureTable, checkpoint: str) -
 
 
 def feature_rows(
-    spark: SparkSession, path: str, prepare, bytes_per_batch: int = 256 << 20, keep_checkpoint: bool = False
+    spark: SparkSession, path: str, prepare, bytes_per_batch: int = 256 << 20, keep_checkpoint: bool = False, state: str | None = None
 ) -> DataFrame:
     """One row for each entity of the Parquet files at ``path``: ``entity`` and ``cells``, a map from type to its counters.
 
@@ -131,15 +134,17 @@ def feature_rows(
 
     The files are read as a stream in micro-batches of about ``bytes_per_batch``. Its checkpoint and
     the table lie in the shared folder; the checkpoint is dropped at the end unless it is to be
-    carried on.
+    kept. With ``state``, a path that all executors share, both lie there and stay: a later call with the
+    same ``state`` reads only the files that are new since, or that a stopped run left, and gives all rows.
+    It may merge the folders that the rows of an earlier call are read from.
     """
     schema = spark.read.parquet(path).schema
-    base = scratch_path(spark, "features")
+    base = state.rstrip("/") if state else scratch_path(spark, "features")
     anyway = f"{path[:-1]}[{path[-1]}]"  # as a pattern, since a stream takes a single file only from one
     stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", bytes_per_batch).parquet(anyway)
     table = FeatureTable(spark, f"{base}/table")
     maintain_features(prepare(stream), table, f"{base}/checkpoint")
-    if not keep_checkpoint:
+    if not (keep_checkpoint or state):
         remove_path(spark, f"{base}/checkpoint")
     return table.current()
 

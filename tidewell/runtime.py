@@ -50,6 +50,15 @@ def remove_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def child_names(spark: SparkSession, path: str, holding: str) -> list[str]:
+    """The names of the folders under a path that hold a file of the given name; none if there is no such path."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [entry.getPath() for entry in system.listStatus(where)] if system.exists(where) else []
+    return [child.getName() for child in found if system.exists(jvm.org.apache.hadoop.fs.Path(child, holding))]
+
+
 def exact_double_key(key: Column) -> Column:
     """A DOUBLE key as BIGINT; null where it is null, not whole or too large to be exact."""
     whole = (key == F.floor(key)) & (F.abs(key) <= F.lit(EXACT_DOUBLE))

@@ -32,3 +32,11 @@ def test_sql_form_agrees():
     for text, expected in [*GOOD.items(), *((b, None) for b in BAD if b is not None and "\n" not in b)]:
         got = db.execute(f"SELECT {iso_micros_sql('t')} FROM (SELECT ? AS t)", [text]).fetchall()[0][0]
         assert (got is None) == (expected is None), text
+
+
+def test_a_long_fraction_keeps_its_zone(spark):
+    digits = "123456" + "7" * 200
+    texts = [f"2016-01-04T06:22:19.{digits}+05:30", f"20160104T062219,{digits}+0530", f"20160104 062219.{digits}-08", f"2016-01-04 06:22:19.{digits}Z", f"2016-01-04T06:22:19.{digits}"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(iso_micros(F.col("t"))).collect()]
+    begin = 1_451_888_539_123_456  # 2016-01-04T06:22:19.123456Z
+    assert got == [begin - 19_800_000_000, begin - 19_800_000_000, begin + 28_800_000_000, begin, begin]

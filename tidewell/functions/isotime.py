@@ -26,10 +26,10 @@ def iso_micros(text: Column) -> Column:
         F.concat_ws(
             "",
             F.substring(text, 1, 4), F.lit("-"), F.substring(text, 5, 2), F.lit("-"), F.substring(text, 7, 2), F.lit("T"),
-            F.substring(text, 10, 2), F.lit(":"), F.substring(text, 12, 2), F.lit(":"), F.substring(text, 14, 80),
+            F.substring(text, 10, 2), F.lit(":"), F.substring(text, 12, 2), F.lit(":"), F.substr(text, F.lit(14)),
         )
     )
-    zoned = F.substring(text, 12, 80).rlike("[Z+-]")
+    zoned = F.substr(text, F.lit(12)).rlike("[Z+-]")
     stamped = F.translate(F.when(zoned, plain).otherwise(F.concat(plain, F.lit("Z"))), ",", ".")
     return F.when(text.rlike(READABLE), F.unix_micros(stamped.try_cast("timestamp")))
 

@@ -23,14 +23,17 @@ def iso_micros(text: Column) -> Column:
     """
     extended = F.substring(text, 5, 1) == "-"
     plain = F.when(extended, text).otherwise(
-        F.concat_ws(
-            "",
+        F.concat(
             F.substring(text, 1, 4), F.lit("-"), F.substring(text, 5, 2), F.lit("-"), F.substring(text, 7, 2), F.lit("T"),
             F.substring(text, 10, 2), F.lit(":"), F.substring(text, 12, 2), F.lit(":"), F.substr(text, F.lit(14)),
         )
     )
-    zoned = F.substr(text, F.lit(12)).rlike("[Z+-]")
-    stamped = F.translate(F.when(zoned, plain).otherwise(F.concat(plain, F.lit("Z"))), ",", ".")
+    # of a readable text, the last characters tell whether it has a zone: Z, +hh:mm, +hhmm or +hh
+    zoned = text.endswith("Z")
+    for back in (6, 5, 3):
+        zoned = zoned | F.substring(text, -back, 1).isin("+", "-")
+    stamped = F.when(zoned, plain).otherwise(F.concat(plain, F.lit("Z")))
+    stamped = F.when(text.contains(","), F.replace(stamped, F.lit(","), F.lit("."))).otherwise(stamped)
     return F.when(text.rlike(READABLE), F.unix_micros(stamped.try_cast("timestamp")))
 
 

@@ -40,16 +40,27 @@ def test_stream_equals_brute_force(spark, tmp_path, files, per_batch):
     assert got.count() == len({r[1] for r in rows})
 
 
-def test_many_batches_are_compacted_and_rerun_batches_count_once(spark):
-    table = FeatureTable(spark, scratch_path(spark, "table"), compact_after=3)
-    cell = "entity bigint, type string, n bigint, last_us bigint, total double"
+CELLS = "entity bigint, type string, n bigint, last_us bigint, total double"
+
+
+def test_rerun_batches_count_once_and_old_versions_go(spark):
+    table = FeatureTable(spark, scratch_path(spark, "table"), buckets=4)
     for batch in range(9):
-        changed = spark.createDataFrame([(batch % 4, f"t{batch}", batch + 1, batch, 1.0), (9, "x", batch + 1, batch, 2.0)], cell)
+        changed = spark.createDataFrame([(batch % 4, f"t{batch}", batch + 1, batch, 1.0), (9, "x", batch + 1, batch, 2.0)], CELLS)
         table.upsert(changed, batch)
         table.upsert(changed, batch)
     got = flat(table.current())
     assert got[9, "x"] == (9, 8, 2.0) and got[0, "t8"] == (9, 8, 1.0) and got[0, "t0"] == (1, 0, 1.0) and len(got) == 10
-    assert len(table.versions) <= 5 and table.base is not None
+    assert max(map(len, table.versions.values())) == 2
+
+
+def test_only_touched_buckets_are_written(spark):
+    table = FeatureTable(spark, scratch_path(spark, "table"), buckets=16)
+    table.upsert(spark.createDataFrame([(k, "a", 1, 5, 1.0) for k in range(200)], CELLS), 0)
+    table.upsert(spark.createDataFrame([(7, "b", 2, 6, 1.0), (1000, "b", 1, 1, 0.0)], CELLS), 1)
+    assert len(table.versions) == 16 and sum(own == [0, 1] for own in table.versions.values()) <= 2
+    got = flat(table.current())
+    assert len(got) == 202 and got[7, "a"] == (1, 5, 1.0) and got[7, "b"] == (2, 6, 1.0)
 
 
 def test_empty_input_and_wide_columns(spark, tmp_path):
@@ -76,12 +87,20 @@ def test_a_stopped_stream_is_carried_on(spark, tmp_path):
 
 
 def test_an_opened_table_has_what_is_complete(spark):
-    path, cell = scratch_path(spark, "table"), "entity bigint, type string, n bigint, last_us bigint, total double"
+    path = scratch_path(spark, "table")
     for batch in range(9):  # another table each time, as after a lost driver
-        table = FeatureTable(spark, path, compact_after=3)
-        table.upsert(spark.createDataFrame([(batch % 4, f"t{batch}", batch + 1, batch, 1.0), (9, "x", batch + 1, batch, 2.0)], cell), batch)
+        table = FeatureTable(spark, path, buckets=4 + batch)
+        table.upsert(spark.createDataFrame([(batch % 4, f"t{batch}", batch + 1, batch, 1.0), (9, "x", batch + 1, batch, 2.0)], CELLS), batch)
     kept = flat(table.current())
-    assert len(kept) == 10 and kept[9, "x"] == (9, 8, 2.0)
-    spark.range(1).selectExpr("9 AS entity").write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{path}/version-00000009")
-    again = FeatureTable(spark, path, compact_after=3)
-    assert (again.base, again.versions) == (table.base, table.versions) and flat(again.current()) == kept
+    assert len(kept) == 10 and kept[9, "x"] == (9, 8, 2.0) and table.buckets == 4
+    broken = spark.range(1).selectExpr("9 AS entity", "1 AS bucket").write.partitionBy("bucket")
+    broken.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{path}/version-00000009-of-4")
+    again = FeatureTable(spark, path)
+    assert again.versions == table.versions and flat(again.current()) == kept
+
+
+def test_nulls_and_odd_paths(spark, tmp_path):
+    rows = [(1, 5, "a", 10, None, 0), (None, 5, "a", 11, 1.0, 0), (2, None, "a", 12, 1.0, 0), (3, 5, None, 13, 1.0, 0), (4, 5, "a", None, 1.0, 0), (1, 5, "a", 10, None, 0)]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(str(tmp_path / "plain"))
+    odd = (tmp_path / "plain").rename(tmp_path / "a[1]{b}*")
+    assert flat(feature_rows(spark, str(odd), prepare)) == {(5, "a"): (1, 10, 0.0)}

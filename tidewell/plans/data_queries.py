@@ -110,10 +110,9 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _event_cells(events: DataFrame) -> DataFrame:
-    rows = events.select(
+    return events.select(
         "event_id", exact_double_key(F.col("user_id")).alias("entity"), features.normal_type(F.col("action")).alias("type"), iso_micros(F.col("ts")).alias("us"), "amount"
     )
-    return rows.dropna(subset=["event_id", "entity", "type", "us"])
 
 
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,13 +50,19 @@ def remove_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def child_names(spark: SparkSession, path: str, holding: str) -> list[str]:
-    """The names of the folders under a path that hold a file of the given name; none if there is no such path."""
+def child_names(spark: SparkSession, path: str, holding: str | None = None) -> list[str]:
+    """The names of what lies under a path, or of the folders there that hold a file of the given name; none if there is no such path."""
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     found = [entry.getPath() for entry in system.listStatus(where)] if system.exists(where) else []
-    return [child.getName() for child in found if system.exists(jvm.org.apache.hadoop.fs.Path(child, holding))]
+    return [child.getName() for child in found if holding is None or system.exists(jvm.org.apache.hadoop.fs.Path(child, holding))]
+
+
+def path_bytes(spark: SparkSession, path: str) -> int:
+    """The bytes of all files under a path."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
 
 
 def exact_double_key(key: Column) -> Column:

@@ -5,19 +5,21 @@ from __future__ import annotations
 import heapq
 import json
 from collections.abc import Iterable
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
-import regex
+
+from tidewell.llm.finding import Finder
 
 #: Folder of the public vocabularies on every machine; a parameter everywhere, never copied.
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.json"
 
-# The pattern that splits text before the merges. White space is written out as the
-# Unicode property White_Space, which leaves out the separators U+001C to U+001F.
-_SPACE = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
-PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
+
+def _pattern(letters: str, digits: str, space: str) -> str:
+    # The pattern that splits text before the merges
+    return rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{digits}]+| ?[^{space}{letters}{digits}]+|[{space}]+(?![^{space}])|[{space}]+"
+
 
 #: A chunk's distinct words stay known to later chunks of a task, until there are so many.
 KNOWN_WORDS = 400_000
@@ -62,6 +64,15 @@ class MergeTable:
         self.longest = max(map(len, self.tokens))
         self._dict = {(int(a), int(b)): (r, int(c)) for r, (a, b, c) in enumerate(zip(self.left, self.right, self.merged, strict=True))}
 
+    @cached_property
+    def longest_from(self) -> dict[bytes, int]:
+        """The bytes of the longest token that begins with two given bytes."""
+        found: dict[bytes, int] = {}
+        for token in self.tokens:
+            if len(token) > 1:
+                found[token[:2]] = max(len(token), found.get(token[:2], 1))
+        return found
+
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair, -1 where there is no merge."""
         key = (left << 32) | right
@@ -147,16 +158,29 @@ def merge_table(path: str) -> MergeTable:
     return MergeTable(path)
 
 
+@lru_cache(maxsize=1)
+def _finder() -> Finder:
+    return Finder(_pattern)
+
+
+class _Places(dict):
+    """The place of each word in order of first sight; asking for a new word gives it the next one."""
+
+    def __missing__(self, word: str) -> int:
+        place = self[word] = len(self)
+        return place
+
+
 class CorpusEncoder:
     """Encodes chunks of texts: splits them to words, replays the merges once over the chunk's new distinct words."""
 
     def __init__(self, path: str):
         self.table = merge_table(path)
-        self._split = regex.compile(PATTERN).findall
+        self._split = _finder()
         self._reset()
 
     def _reset(self) -> None:
-        self.place: dict[str, int] = {}
+        self.place = _Places()
         self.ids = np.zeros(0, np.int64)
         self.starts = np.zeros(1, np.int64)
         self.sizes: list[int] = []
@@ -169,9 +193,6 @@ class CorpusEncoder:
         found = []
         for text in texts:
             words = self._split(text) if text else []
-            for word in words:
-                if word not in place:
-                    place[word] = len(place)
             found.append(np.fromiter(map(place.__getitem__, words), np.int64, len(words)))
         if len(place) > known:
             fresh = [word.encode("utf-8", "surrogatepass") for word in list(place)[known:]]
@@ -183,17 +204,20 @@ class CorpusEncoder:
 
     def gather(self, words: np.ndarray) -> np.ndarray:
         """The token ids of a sequence of words."""
+        return self.gather_all([words])[0]
+
+    def gather_all(self, found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The token ids of several sequences of words, one after the other, and the offsets of each."""
+        words = np.concatenate(found) if found else np.zeros(0, np.int64)
         n = self.starts[words + 1] - self.starts[words]
-        total = int(n.sum())
-        if not total:
-            return np.zeros(0, np.int32)
-        first = np.cumsum(n) - n
-        return self.ids[np.arange(total) + np.repeat(self.starts[words] - first, n)].astype(np.int32)
+        ends = np.append(0, np.cumsum(n))
+        ids = self.ids[np.arange(ends[-1]) + np.repeat(self.starts[words] - ends[:-1], n)].astype(np.int32)
+        return ids, ends[np.append(0, np.cumsum([len(w) for w in found], dtype=np.int64))]
 
     def count(self, text: str) -> int:
         """The number of tokens of a short text."""
-        place, sizes, total = self.place, self.sizes, 0
+        get, sizes, total = self.place.get, self.sizes, 0
         for word in self._split(text):
-            at = place.get(word)
+            at = get(word)
             total += len(self.table.merge_word(word.encode("utf-8", "surrogatepass"))) if at is None else sizes[at]
         return total

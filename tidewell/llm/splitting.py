@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import math
+import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,20 +23,20 @@ LEVELS = ("character", "mark", "word", "sentence", "line", "code", "paragraph",
 CHARACTER, MARK, WORD, SENTENCE, LINE, CODE, PARAGRAPH, SECTION = range(8)
 SCHEMA = "doc_id bigint, piece_no int, n_pieces int, start_char int, body_char int, end_char int, n_tokens int, overlap_tokens int, boundary string, piece string"
 
-_CODE_SPAN = regex.compile(r"^[ \t]*(```|~~~).*?(?:^[ \t]*\1[^\n]*(?:\n|\Z)|\Z)|<pre\b.*?(?:</pre>|\Z)", regex.M | regex.S | regex.I)
+_CODE_SPAN = re.compile(r"^[ \t]*(```|~~~).*?(?:^[ \t]*\1[^\n]*(?:\n|\Z)|\Z)|<pre\b.*?(?:</pre>|\Z)", re.M | re.S | re.I)
 #: What ends before a boundary or starts at it, by strength. Boundaries lie after line breaks and before other white space.
 _MARKS = (
-    (SECTION, regex.compile(r"^(?=[ ]{0,3}#{1,6}[ \t])|(?=<h[1-6]\b)|^(?=[ ]{0,3}(?:-{3,}|\*{3,}|_{3,}|={3,})[ \t]*$)|(?=<hr\b)", regex.M | regex.I)),
-    (PARAGRAPH, regex.compile(r"\n(?:[ \t\r]*\n)+|</p>|<p>(?=)|</(?:ul|ol|table|blockquote|div)>", regex.I)),
-    (LINE, regex.compile(r"\r?\n|\r|<br ?/?>|</li>|</tr>", regex.I)),
-    (SENTENCE, regex.compile(r"[.!?…]+[\"'”’)\]]*(?=\s)|[。！？]+[”’」』）]*")),
+    (SECTION, re.compile(r"^(?=[ ]{0,3}#{1,6}[ \t])|(?=<h[1-6]\b)|^(?=[ ]{0,3}(?:-{3,}|\*{3,}|_{3,}|={3,})[ \t]*$)|(?=<hr\b)", re.M | re.I)),
+    (PARAGRAPH, re.compile(r"\n(?:[ \t\r]*\n)+|</p>|<p>(?=)|</(?:ul|ol|table|blockquote|div)>", re.I)),
+    (LINE, re.compile(r"\r?\n|\r|<br ?/?>|</li>|</tr>", re.I)),
+    (SENTENCE, re.compile(r"[.!?…]+[\"'”’)\]]*(?=\s)|[。！？]+[”’」』）]*")),
 )
 
 
 #: Weak marks stand nearly everywhere, so they are sought only where there is no other.
 _WEAK = (
-    (WORD, regex.compile(r"(?<=\S)(?=[ \t　])")),
-    (MARK, regex.compile(r"(?<=[^\w\s])(?=[\w\"'])")),  # where nothing but punctuation parts words, as in dense JSON
+    (WORD, re.compile(r"(?<=\S)(?=[ \t　])")),
+    (MARK, re.compile(r"(?<=[^\w\s])(?=[\w\"'])")),  # where nothing but punctuation parts words, as in dense JSON
 )
 
 
@@ -86,105 +86,69 @@ class Splitter:
 
     def split(self, text: str, ids: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
         """Pieces as start, start of what is new, end, tokens, tokens of the overlap, and strength of the boundary at the end."""
-        total = len(ids)
-        if total <= self.limit:
-            return [(0, 0, len(text), total, 0, SECTION)]
-        width = np.array([1 if c < 0x80 else 2 if c < 0x800 else 3 if c < 0x10000 else 4 for c in map(ord, text)])
-        first_byte = self._first_byte = np.append(0, np.cumsum(width))
+        self._total = len(ids)
+        if self._total <= self.limit:
+            return [(0, 0, len(text), self._total, 0, SECTION)]
+        data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+        self._first_byte = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
         last_byte = np.cumsum(self.encoder.table.n_bytes[ids])
         # tokens that end at or before each character position
-        self._tokens_at = np.searchsorted(last_byte, first_byte, "right")
-        whole = np.flatnonzero(np.isin(first_byte, last_byte, assume_unique=False))[:-1].tolist()  # places between tokens and characters
-        marks = boundaries(text)
-        places = sorted(marks)
-        n = 1 + -(-(total - self.limit) // (self.limit - self.overlap))
+        self._tokens_at = np.searchsorted(last_byte, self._first_byte, "right")
+        whole = np.searchsorted(self._first_byte, last_byte)
+        self._whole = whole[self._first_byte[whole] == last_byte][:-1]  # places between tokens and characters
+        self._marks = boundaries(text)
+        self._places = sorted(self._marks)
+        pieces, start, cut, repeated = [], 0, 0, 0
         while True:
-            pieces = self._try(text, total, n, marks, places, whole)
-            if pieces:
+            end, size, level = self._next(text, start, cut, repeated)
+            pieces.append((start, cut, end, size, repeated, level))
+            if end == len(text):
                 return pieces
-            n += 1
+            cut = end
+            start, repeated = self._overlap(text, cut, start)
 
-    def _try(self, text: str, total: int, n: int, marks: dict[int, int], places: list[int], whole: list[int], far: bool = True):
-        """The pieces for ``n`` balanced targets, or None if one outgrows the limit.
+    def _next(self, text: str, start: int, cut: int, repeated: int) -> tuple[int, int, int]:
+        """End, tokens and boundary of the piece that repeats from ``start`` and adds from ``cut``.
 
-        A target without any boundary near is moved to one as far off as the limit allows, and the targets
-        after it are balanced anew; only if there is none, or these pieces fail, it goes between characters.
+        What is left is taken in the fewest pieces of equal size that could hold it. The first of these targets goes to the
+        strongest boundary near that keeps the limit. If that leaves more than the other pieces can hold, the next
+        call finds one piece more and places its targets anew.
         """
-        step = (total - self.overlap) / n  # tokens that each piece adds, the first one the overlap besides
-        reach = min(self.limit / 8, step / 3)
-        tokens_at = self._tokens_at
-        cuts, levels, moved = [0], [SECTION], False
-        from_, done = self.overlap, 0  # tokens and pieces from which the targets are counted
-        for k in range(1, n):
-            target = from_ + (k - done) * step
-            # whole numbers, as a search for a fraction would first copy the array
-            low = max(int(np.searchsorted(tokens_at, math.ceil(target - reach), "left")), cuts[-1] + 1)
-            high = min(int(np.searchsorted(tokens_at, math.floor(target + reach), "right")), len(text)) - 1
-            near = {p: marks[p] for p in places[bisect_left(places, low) : bisect_right(places, high)]} or weak_boundaries(text, low, high)
-            if near:
-                tokens = dict(zip(near, tokens_at[list(near)].tolist(), strict=True))
-                at = max(near, key=lambda p: (near[p], -abs(tokens[p] - target), -p))
-                level = near[at]
-            elif far and (found := self._far(text, total, target, n - k, marks, places, cuts[-1])):
-                (at, level), moved = found, True
-                from_, done = int(tokens_at[at]), k
-                step = (total - from_) / (n - k)
-            else:
-                at, level = self._nearest(whole, tokens_at, target, cuts[-1], len(text)), CHARACTER
-                if at is None:
-                    break
-            cuts.append(at)
-            levels.append(level)
-        cuts.append(len(text))
-        levels.append(SECTION)
-        # cuts inside words change a count by a token or two, so a clear excess needs no exact count
-        estimates = np.diff(tokens_at[cuts])
-        estimates[1:] += self.overlap
-        again = (lambda: self._try(text, total, n, marks, places, whole, False)) if moved else lambda: None
-        if int(estimates.max()) > self.limit + 8 and len(text) > n:
-            return again()
-        pieces, start_before = [], 0
-        for a, b, level in zip(cuts, cuts[1:], levels[1:], strict=False):
-            start, repeated = self._overlap(text, a, start_before) if a else (0, 0)
-            size = self.encoder.count(text[start:b])
-            if size > self.limit and b - a > 1:
-                return again()
-            pieces.append((start, a, b, size, repeated, level))
-            start_before = start
-        return pieces
-
-    def _far(self, text: str, total: int, target: float, rest: int, marks: dict[int, int], places: list[int], after: int) -> tuple[int, int] | None:
-        """The strongest boundary, the nearest of equals, where the piece from ``after`` and ``rest`` more keep the limit."""
         tokens_at, adds = self._tokens_at, self.limit - self.overlap
-        # the overlap may be short and cuts inside words change counts, so the range is a bit wider than what fits
-        low = max(int(np.searchsorted(tokens_at, total - rest * adds - 8, "left")), after + 1)
-        high = min(int(np.searchsorted(tokens_at, int(tokens_at[after]) + (adds if after else self.limit) + 8, "right")), len(text)) - 1
-        start = None
-
-        def fits(at: int) -> bool:
-            nonlocal start
-            if start is None:
-                start = self._overlap(text, after, 0)[0] if after else 0
-            if self.encoder.count(text[start:at]) > self.limit:
-                return False
-            return rest > 1 or self.encoder.count(text[self._overlap(text, at, 0)[0] :]) <= self.limit
-
-        strong = {p: marks[p] for p in places[bisect_left(places, low) : bisect_right(places, high)]}
-        for options in (strong, weak_boundaries(text, low, high)):
-            for at in sorted(options, key=lambda p: (-options[p], abs(int(tokens_at[p]) - target), p)):
-                if fits(at):
-                    return at, options[at]
-        return None
+        done = int(tokens_at[cut])
+        left, room = self._total - done, self.limit - repeated
+        # cuts inside words change counts by a few tokens, so what seems slightly too much is counted
+        if left <= room + 8 and (size := self.encoder.count(text[start:])) <= self.limit:
+            return len(text), size, SECTION
+        n = 1 + max(1, -(-(left - room) // adds))
+        goal = done + (left + repeated + (n - 1) * self.overlap) / n - repeated
+        reach = min(self.limit / 8, (goal - done) / 3)
+        top = min(goal + reach, done + room)  # where the limit cuts the range off above, it goes farther down
+        near = self._span(top - 2 * reach, top, cut, text)
+        far = self._span(self._total - (n - 1) * adds, done + room, cut, text)
+        # places so far back that a piece is added come last
+        for low, high in (near, far, self._span(done + adds / 4, done + room, cut, text), self._span(done + 1, done + room, cut, text)):
+            strong = {p: self._marks[p] for p in self._places[bisect_left(self._places, low) : bisect_right(self._places, high)]}
+            for options in (strong, weak_boundaries(text, low, high)):
+                for at in sorted(options, key=lambda p: (-options[p], abs(tokens_at[p] - goal), p)):
+                    if (size := self.encoder.count(text[start:at])) <= self.limit:
+                        return at, size, options[at]
+        # nothing natural: between whole tokens, or else whole characters, the nearest to the target that keeps the limit
+        k = int(np.searchsorted(self._whole, np.searchsorted(tokens_at, math.floor(goal), "left"), "right"))
+        for at in chain(self._whole[:k][::-1].tolist(), range(int(np.searchsorted(tokens_at, math.ceil(goal), "left")), cut, -1)):
+            if cut < at < len(text) and (size := self.encoder.count(text[start:at])) <= self.limit:
+                return at, size, CHARACTER
+            if at <= cut:
+                break
+        end = cut + 1
+        return end, self.encoder.count(text[start:end]), CHARACTER if end < len(text) else SECTION
 
-    @staticmethod
-    def _nearest(whole: list[int], tokens_at: np.ndarray, target: float, after: int, end: int) -> int | None:
-        """The place between whole characters that is nearest to the target."""
-        at = int(np.searchsorted(tokens_at, math.ceil(target), "left"))
-        k = bisect_left(whole, at)
-        options = [p for p in whole[max(0, k - 1) : k + 1] if after < p < end]
-        if not options:
-            options = [p for p in (at,) if after < p < end]
-        return min(options, key=lambda p: abs(int(tokens_at[p]) - target), default=None)
+    def _span(self, least: float, most: float, cut: int, text: str) -> tuple[int, int]:
+        """First and last place after ``cut`` with a number of tokens before it."""
+        # whole numbers, as a search for a fraction would first copy the array
+        low = int(np.searchsorted(self._tokens_at, math.ceil(least), "left"))
+        high = int(np.searchsorted(self._tokens_at, math.floor(most), "right"))
+        return max(low, cut + 1), min(high, len(text)) - 1
 
     def _overlap(self, text: str, cut: int, least: int) -> tuple[int, int]:
         """Where the repeated end of the piece before ``cut`` starts, and its tokens: the most that don't exceed the overlap.
@@ -222,14 +186,15 @@ class Splitter:
         tokens, longest = self.encoder.table.tokens, self.encoder.table.longest
         data = text[max(least, cut - self.overlap * longest) : cut].encode("utf-8", "surrogatepass")
         fewest = [0]  # tokens that could give the last bytes, by their number
-        starts, start = [], cut
+        starts, start, longest_from = [], cut, self.encoder.table.longest_from
         for k in range(len(data) - 1, -1, -1):
-            fewest.append(1 + min(fewest[-m] for m in range(1, min(longest, len(fewest)) + 1) if data[k : k + m] in tokens))
+            reach = min(longest_from.get(data[k : k + 2], 1), len(fewest))
+            fewest.append(1 + min(fewest[-m] for m in range(1, reach + 1) if m == 1 or data[k : k + m] in tokens))
             if data[k] & 0xC0 != 0x80:  # a character begins here
                 start -= 1
                 if fewest[-1] <= self.overlap and abs(start - at) > REACH:
                     starts.append(start)
-            if min(fewest[-longest:]) > self.overlap:
+            if k % 16 == 0 and min(fewest[-longest:]) > self.overlap:
                 break
         yield from sorted(starts, key=lambda s: abs(s - at))
 
@@ -246,11 +211,12 @@ def split_documents(
     allow. Sizes are the tokens of a piece encoded by itself. ``boundary`` is the kind of place at which
     the piece ends (``section`` also at the text's end).
 
-    The least number of pieces is computed, equal targets are placed, and each is moved to the strongest
-    boundary within an eighth of the limit (the nearest of equally strong ones), without any to one
-    farther off where the same number of pieces still keeps the limit, or without these to the nearest
-    whole character; if then a piece exceeds the limit, a piece is added and all targets are
-    placed anew. A piece of one character may exceed a limit that is below the character's own tokens.
+    The least number of pieces is computed, equal targets are placed, and the first is moved to the strongest
+    boundary in a range of a quarter of the limit around it that keeps the piece within it (the nearest of equally strong ones),
+    without any to one farther off where the same number of pieces still does, or to any other that does, or without
+    these to the nearest whole token or character. For the rest the same is done again, so a piece is added where what is left
+    outgrows the pieces meant for it, and the time grows with the text's length. A piece of one character may exceed a limit that is
+    below the character's own tokens.
 
     Texts within the limit, null and empty ones give no rows, or with ``keep_small`` one piece each (none
     for null). Repeated rows are cut each; an empty table gives no rows; other columns are pruned. A task

@@ -46,11 +46,9 @@ def encode_corpus(documents: DataFrame, doc_id: str = "doc_id", text: str = "tex
             chunk = chunk.combine_chunks()
             found = encoder.words(chunk.column(1).to_pylist())
             for at in range(0, len(found), 10_000):
-                ids = [encoder.gather(words) for words in found[at : at + 10_000]]
-                offsets = np.zeros(len(ids) + 1, np.int32)
-                np.cumsum([len(x) for x in ids], out=offsets[1:])
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
-                keys = chunk.column(0).slice(at, len(ids)).combine_chunks()
+                ids, offsets = encoder.gather_all(found[at : at + 10_000])
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
+                keys = chunk.column(0).slice(at, len(lists)).combine_chunks()
                 yield pa.RecordBatch.from_arrays([keys, lists], names=["doc_id", "ids"])
 
     columns = documents.select(documents[doc_id].cast("bigint").alias("doc_id"), documents[text].cast("string").alias("text"))

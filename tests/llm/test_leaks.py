@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from tidewell.llm.leaks import ItemIndex, edit_distances, edits_allowed, item_blocks, leak_counts, leaked_items, words_of
+from tidewell.llm.leaks import ItemIndex, edit_distances, edits_allowed, item_blocks, leak_counts, leak_recall, leaked_items, words_of
 
 COMMON = [f"w{k}" for k in range(60)]
 
@@ -119,3 +119,17 @@ def test_long_text_and_no_windows_across_texts():
     long = "x " * 300_000 + halves[1] + " y" * 300_000
     assert index.search([long])["distance"].tolist() == [0]
     assert len(index.search([])) == 0 and len(ItemIndex.build([]).search(["a b"])) == 0
+
+
+def test_exhaustive_search_and_recall(spark):
+    docs, items = corpus(4, 60)
+    expected = brute([d for d in docs if d[1]], items)
+    named = [(i, words_of(t)) for i, t in items if i is not None and t is not None]
+    found = ItemIndex.build(named).exhaustive([words_of(t) for _, t in docs])
+    assert {(docs[t][0], i): n for (t, i), n in found.items()} == expected
+    d = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(2)
+    rows = {r["distance"]: (r["n_matches"], r["n_found"]) for r in leak_recall(d, spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert sum(n for n, _ in rows.values()) == len(expected) and rows[0][0] == rows[0][1] == sum(n == 0 for n in expected.values())
+    assert all(found <= n for n, found in rows.values())
+    none = leak_recall(d.limit(0), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert sorted(map(tuple, none)) == [(0, 0, 0), (1, 0, 0), (2, 0, 0)]

@@ -16,10 +16,11 @@ def test_runs_over_whole_tables(spark, name):
         assert n == spark.read.parquet(f"{FOLDER}/documents.parquet").count()
 
 
-def test_found_agrees_with_sql(spark):
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_agrees_with_sql(spark, name):
     import duckdb
 
     db = duckdb.connect()
     for table in ("documents", "eval_items"):
         db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
-    assert sorted(map(tuple, QUERIES["p7_found"](spark, FOLDER).collect())) == sorted(db.execute(SQL["p7_found"]).fetchall())
+    assert sorted(map(tuple, QUERIES[name](spark, FOLDER).collect())) == sorted(db.execute(SQL[name]).fetchall())

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.llm.finding import Finder
+from tidewell.llm.tokenizing import chunks
+
 #: Consecutive words that make a passage; a shorter item must stand whole.
 PASSAGE_WORDS = 12
 #: Word edits that a window may differ by, for each six of its words.
@@ -19,18 +24,24 @@ EDITS_PER_SIX = 1
 #: Random walks, samplings of each, and coordinates of a sampling.
 WALKS, SAMPLINGS, COORDINATES = 4, 3, 4
 SEED = 20_160_104
-#: Items are taken in blocks of so many words, each of which is broadcast; about 30 bytes a word and sampling.
-BLOCK_WORDS = 200_000
+#: Items are taken in blocks of so many words, whose texts are broadcast. An index takes about 400 bytes a word, and a
+#: worker keeps so many of them; with more blocks it takes the corpus in larger parts, so that indexing again is rare.
+BLOCK_WORDS, KEPT_BLOCKS = 200_000, 2
+PART_ROWS, PART_BYTES = 2_000, 16 << 20
 
-_WORDS = regex.compile(r"[\p{L}\p{N}]+").findall
 _COLUMNS = ["doc_id", "item_id", "distance", "n_windows", "first_word", "last_word"]
 _END = np.array([-1], np.int64)
 SCHEMA = "doc_id bigint, item_id bigint, distance int, n_windows bigint, first_word bigint, last_word bigint"
 
 
+@lru_cache(maxsize=1)
+def _finder() -> Finder:
+    return Finder(lambda letters, digits, _: f"[{letters}{digits}]+")
+
+
 def words_of(text: str | None) -> list[str]:
     """The words of a text: maximal runs of letters and digits, in lower case."""
-    return _WORDS(text.lower()) if text else []
+    return _finder()(text.lower()) if text else []
 
 
 def edits_allowed(size: int) -> int:
@@ -110,33 +121,42 @@ class WindowIndex:
             n = n[hit]
             at = np.arange(int(n.sum())) + np.repeat(low[hit] - (np.cumsum(n) - n), n)
             pairs.append(np.repeat(hit, n) * len(self.windows) + rows[at])
-        both = np.unique(np.concatenate(pairs))
+        both = np.sort(np.concatenate(pairs))
+        both = both[np.append(True, both[1:] != both[:-1])[: len(both)]]
         return both // len(self.windows), both % len(self.windows)
 
 
 def edit_distances(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    """Word edit distance of the rows of ``a`` and ``b``, or ``most + 1`` if it is larger, in a band of the table."""
+    """Word edit distance of the rows of ``a`` and ``b``, or ``most + 1`` if it is larger, in a band of the table.
+
+    Pairs whose whole band is beyond ``most`` are dropped on the way; nearly all are after a few words.
+    """
     n, size = a.shape
     width = 2 * most + 1
-    above = np.full((n, width), most + 1, np.int16)
-    above[:, most:] = np.minimum(np.arange(most + 1), most + 1)
+    result = np.full(n, most + 1, np.int16)
+    alive = np.arange(n)
+    above = np.full((width, n), most + 1, np.int16)
+    above[most:] = np.arange(most + 1)[:, None]
+    a, b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
     for i in range(1, size + 1):
-        row = np.full((n, width), most + 1, np.int16)
-        for k in range(width):
+        row = np.full(above.shape, most + 1, np.int16)
+        for k in range(max(0, most - i), min(width, size - i + most + 1)):
             j = i + k - most
-            if j < 0 or j > size:
-                continue
             if j == 0:
-                row[:, k] = min(i, most + 1)
+                row[k] = min(i, most + 1)
                 continue
-            best = above[:, k] + (a[:, i - 1] != b[:, j - 1])
+            best = above[k] + (a[i - 1] != b[j - 1])
             if k + 1 < width:
-                best = np.minimum(best, above[:, k + 1] + 1)
+                best = np.minimum(best, above[k + 1] + 1)
             if k:
-                best = np.minimum(best, row[:, k - 1] + 1)
-            row[:, k] = np.minimum(best, most + 1)
+                best = np.minimum(best, row[k - 1] + 1)
+            row[k] = np.minimum(best, most + 1)
         above = row
-    return above[:, most]
+        if i % (most + 2) == 0 and i < size:
+            able = above.min(axis=0) <= most
+            alive, above, a, b = alive[able], above[:, able], a[:, able], b[:, able]
+    result[alive] = above[most]
+    return result
 
 
 @dataclass
@@ -164,17 +184,23 @@ class ItemIndex:
         sizes = [WindowIndex.build(size, np.concatenate(w), np.concatenate(i), len(symbols) + 1) for size, (w, i) in sorted(by_size.items())]
         return cls(symbols, sizes, np.array([i for i, _ in items], np.int64))
 
-    def search(self, texts: list[str | None]) -> pd.DataFrame:
-        """The items found in each text, with the least distance, the number of windows and their place."""
-        get = self.symbols.get
-        parts, starts, at = [], np.zeros(len(texts), np.int64), 0
-        for k, text in enumerate(texts):
-            own = words_of(text)
+    def stream(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols of all texts' words, each text closed by an end, and where each text begins."""
+        symbol, parts, starts, at = self.symbols.get, [], np.zeros(len(texts), np.int64), 0
+        for k, own in enumerate(texts):
             starts[k] = at
-            parts.append(np.fromiter((get(w, 0) for w in own), np.int64, len(own)))
+            parts.append(np.fromiter(map(symbol, own, repeat(0)), np.int64, len(own)))
             parts.append(_END)
             at += len(own) + 1
-        stream = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        return np.concatenate(parts) if parts else np.zeros(0, np.int64), starts
+
+    def search(self, texts: list[str | None]) -> pd.DataFrame:
+        """The items found in each text, with the least distance, the number of windows and their place."""
+        return self.search_words([words_of(text) for text in texts])
+
+    def search_words(self, texts: list[list[str]]) -> pd.DataFrame:
+        """The same for texts that are given as words."""
+        stream, starts = self.stream(texts)
         # the end of a text counts as more foreign words than any window may hold, so no window reaches beyond it
         foreign = np.append(0, np.cumsum(np.where(stream < 0, 1 << 20, stream == 0)))
         found = []
@@ -197,7 +223,7 @@ class ItemIndex:
                         pd.DataFrame({"place": place[a[good]], "item": index.item[b[good]], "distance": distance[good], "size": index.size})
                     )
         if not found:
-            return pd.DataFrame({"text": [], "item_id": [], "distance": [], "n_windows": [], "first_word": [], "last_word": []}, dtype=np.int64)
+            return pd.DataFrame({c: [] for c in ("text", *_COLUMNS[1:])}, dtype=np.int64)
         hits = pd.concat(found, ignore_index=True)
         hits["text"] = np.searchsorted(starts, hits["place"], "right") - 1
         hits["first_word"] = hits["place"] - starts[hits["text"].to_numpy()]
@@ -209,6 +235,42 @@ class ItemIndex:
         grouped["item_id"] = self.item_ids[grouped["item"].to_numpy(np.int64)]
         return grouped
 
+    def exhaustive(self, texts: list[list[str]]) -> dict[tuple[int, int], int]:
+        """The least distance for each text and item that match, without any embedding: what ``search`` is measured against.
+
+        With ``e`` edits allowed, one of ``e + 1`` parts of an item's window stands unchanged in a matching window of the
+        text, moved by ``e`` words at most. Every place where a part of any window stands so is verified.
+        """
+        stream, starts = self.stream(texts)
+        found: dict[tuple[int, int], int] = {}
+        for index in self.sizes:
+            most = edits_allowed(index.size)
+            bounds = [index.size * k // (most + 1) for k in range(most + 2)]
+            parts: dict[tuple[int, bytes], list[int]] = {}
+            for row, window in enumerate(index.windows):
+                for k in range(most + 1):
+                    parts.setdefault((k, window[bounds[k] : bounds[k + 1]].tobytes()), []).append(row)
+            pairs: set[tuple[int, int]] = set()
+            for k in range(most + 1):
+                n = bounds[k + 1] - bounds[k]
+                for at in range(len(stream) - n + 1):
+                    for row in parts.get((k, stream[at : at + n].tobytes()), ()):
+                        pairs.update((at - bounds[k] + shift, row) for shift in range(-most, most + 1))
+            pairs = {(at, row) for at, row in pairs if 0 <= at <= len(stream) - index.size}
+            if not pairs:
+                continue
+            place, row = np.array(sorted(pairs), np.int64).T
+            windows = np.lib.stride_tricks.sliding_window_view(stream, index.size)[place]
+            inside = (windows >= 0).all(axis=1)
+            place, row, windows = place[inside], row[inside], windows[inside]
+            for low in range(0, len(place), 500_000):
+                distance = edit_distances(windows[low : low + 500_000], index.windows[row[low : low + 500_000]], most)
+                text = np.searchsorted(starts, place[low : low + 500_000], "right") - 1
+                for t, item, d in zip(text.tolist(), self.item_ids[index.item[row[low : low + 500_000]]].tolist(), distance.tolist(), strict=True):
+                    if d <= most:
+                        found[t, item] = min(d, found.get((t, item), d))
+        return found
+
 
 def item_blocks(items: DataFrame, item_id: str, text: str, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[int, list[str]]]]:
     """The items, partition by partition, in blocks of a bounded number of words. A longer item is a block by itself."""
@@ -244,37 +306,75 @@ def leaked_items(
     Hamming distance, and each embedding is sampled at a few coordinates to a key. Windows of the
     documents that share a key with an item's are verified by exact edit distance. Equal windows share
     every key, so exact passages are all found; near ones are found with the recall that walks and
-    samplings give. Items come in blocks of bounded size that are broadcast, so documents are read once
-    for each block, never shuffled, and one document is all that must fit at a time.
+    samplings give. The items' texts are broadcast in blocks of bounded size, which workers index when they first need
+    them. Documents are read once, however many blocks there are, and never shuffled.
     """
-    corpus = documents.select(documents[doc_id].cast("bigint").alias("doc_id"), documents[text].cast("string").alias("text"))
     spark = documents.sparkSession
-    results = []
-    for block in item_blocks(items, item_id, item_text):
-        shared = spark.sparkContext.broadcast(ItemIndex.build(block, passage))
-
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for low in range(0, batch.num_rows, 2_000):
-                    part = batch.slice(low, 2_000)
-                    hits = shared.value.search(part.column(1).to_pylist())
+    shared = [spark.sparkContext.broadcast(block) for block in item_blocks(items, item_id, item_text)]
+    if not shared:
+        return spark.createDataFrame([], SCHEMA)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: OrderedDict[int, ItemIndex] = OrderedDict()
+
+        def index(k: int) -> ItemIndex:
+            if k not in kept:
+                if len(kept) >= KEPT_BLOCKS:
+                    kept.popitem(last=False)
+                kept[k] = ItemIndex.build(shared[k].value, passage)
+            return kept[k]
+
+        few = len(shared) <= KEPT_BLOCKS
+        for table in (pa.Table.from_batches([b]) for b in batches) if few else chunks(batches, 1, PART_BYTES):
+            for low in range(0, table.num_rows, PART_ROWS if few else table.num_rows):
+                part = table.slice(low, PART_ROWS) if few else table
+                part = part.combine_chunks()
+                texts = [words_of(text) for text in part.column(1).to_pylist()]
+                for k in range(len(shared)):
+                    hits = index(k).search_words(texts)
                     if not len(hits):
                         continue
-                    keys = part.column(0).take(pa.array(hits["text"].to_numpy(np.int64)))
+                    keys = part.column(0).take(pa.array(hits["text"].to_numpy(np.int64))).combine_chunks()
                     rest = [pa.array(hits[c].to_numpy(np.int32 if c == "distance" else np.int64)) for c in _COLUMNS[1:]]
                     yield pa.RecordBatch.from_arrays([keys, *rest], names=_COLUMNS)
 
-        results.append(corpus.mapInArrow(search, SCHEMA))
-    if not results:
-        return spark.createDataFrame([], SCHEMA)
-    found = results[0]
-    for more in results[1:]:
-        found = found.unionByName(more)
-    return found.groupBy("doc_id", "item_id").agg(
+    corpus = documents.select(documents[doc_id].cast("bigint").alias("doc_id"), documents[text].cast("string").alias("text"))
+    return corpus.mapInArrow(search, SCHEMA).groupBy("doc_id", "item_id").agg(
         F.min("distance").alias("distance"), F.max("n_windows").alias("n_windows"), F.min("first_word").alias("first_word"), F.max("last_word").alias("last_word")
     )
 
 
+def leak_recall(
+    documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", passage: int = PASSAGE_WORDS
+) -> DataFrame:
+    """How many of the matches of ``documents`` with all items ``leaked_items`` finds, for each distance.
+
+    Columns ``distance`` (all that are allowed), ``n_matches`` and ``n_found``. Matches come from an exhaustive search, which is
+    slow: give it the documents of a stated query set.
+    """
+    spark = documents.sparkSession
+    shared = [spark.sparkContext.broadcast(block) for block in item_blocks(items, item_id, item_text)]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, keys = [words_of(text) for text in batch.column(1).to_pylist()], batch.column(0).to_pylist()
+            for block in shared:
+                found = ItemIndex.build(block.value, passage).exhaustive(texts)
+                rows = [(keys[t], item, d) for (t, item), d in found.items()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32())],
+                    names=["doc_id", "item_id", "distance"],
+                )
+
+    corpus = documents.select(documents[doc_id].cast("bigint").alias("doc_id"), documents[text].cast("string").alias("text"))
+    matches = corpus.mapInArrow(search, "doc_id bigint, item_id bigint, distance int").groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"))
+    found = leaked_items(documents, items, doc_id, text, item_id, item_text, passage).select("doc_id", "item_id", F.lit(1).alias("found"))
+    both = matches.join(found, ["doc_id", "item_id"], "left")
+    counts = both.groupBy("distance").agg(F.count(F.lit(1)).alias("n_matches"), F.count("found").alias("n_found"))
+    every = spark.range(edits_allowed(passage) + 1).select(F.col("id").cast("int").alias("distance"))
+    return every.join(counts, "distance", "left").na.fill(0, ["n_matches", "n_found"])
+
+
 def leak_counts(leaks: DataFrame) -> DataFrame:
     """For each leaked item the number of documents that hold a passage exactly, and exactly or nearly."""
     return leaks.groupBy("item_id").agg(F.count_if(F.col("distance") == 0).alias("n_exact"), F.count(F.lit(1)).alias("n_documents"))

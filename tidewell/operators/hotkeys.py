@@ -29,7 +29,8 @@ def dominating_keys(rows: DataFrame, part: str, key: str, share: float) -> DataF
     ``n_total``; rows with a null key count towards the total only. The share is strict: a key
     that holds exactly ``share`` is left out. An empty input gives no rows.
     """
-    counts = per_key_totals(rows.where(F.col(key).isNotNull()), [part, key], {"n_rows": F.count(F.lit(1))})
-    totals = per_key_totals(rows, [part], {"n_total": F.count(F.lit(1))})
+    counts = per_key_totals(rows, [part, key], {"n_keyed": F.count(key), "n_rows": F.count(F.lit(1))})  # n_keyed is 0 for the null key
+    # both counts are named on either side of the join, so that both sides are one aggregate, which is made once
+    totals = per_key_totals(counts, [part], {"n_total": F.sum(F.greatest("n_rows", "n_keyed"))})
     # totals has one row for each part (the number of tables in the union), so it may be broadcast
-    return counts.join(F.broadcast(totals), part).where(F.col("n_rows") > F.lit(share) * F.col("n_total"))
+    return counts.join(F.broadcast(totals), part).where(F.least("n_rows", "n_keyed") > F.lit(share) * F.col("n_total")).drop("n_keyed")

@@ -138,10 +138,9 @@ def sessions(
     if gap_ms % slots_per_gap or not 1 <= slots_per_gap < WORD:
         raise ValueError("gap_ms must be a multiple of slots_per_gap, which must be below 64")
     width = gap_ms // slots_per_gap
-    rows = events.select(entity.alias("entity"), event_id.alias("id"), time_ms.alias("ms")).where(
-        F.col("entity").isNotNull() & F.col("id").isNotNull() & F.col("ms").isNotNull()
-    )
-    once = rows.groupBy("id").agg(F.min("entity").alias("entity"), F.min("ms").alias("ms"))
+    rows = events.select(entity.alias("entity"), event_id.alias("id"), time_ms.alias("ms")).where(F.col("entity").isNotNull() & F.col("id").isNotNull())
+    # null times go after the grouping: a filter before it would work them out twice
+    once = rows.groupBy("id").agg(F.min("entity").alias("entity"), F.min("ms").alias("ms")).where(F.col("ms").isNotNull())
     slots = (
         once.groupBy("entity", F.floor(F.col("ms") / F.lit(width)).alias("slot"))
         .agg(F.min("ms").alias("first_ms"), F.max("ms").alias("last_ms"), F.count(F.lit(1)).alias("n"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.isotime import iso_micros, iso_micros_sql
 from tidewell.operators import features, hotkeys, orphans, rejects, sessions
-from tidewell.runtime import exact_double_key, micros
+from tidewell.runtime import exact_double_key, inexact_keys, micros
 
 DOMINATING_SHARE = 0.02
 
@@ -28,7 +28,8 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rejects.rejected(_parsed(spark, sf_dir))
+    """The failing records with their reasons; the operator has the reader's own words, too."""
+    return rejects.rejected(_parsed(spark, sf_dir)).drop("detail")
 
 
 def p1_users(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,11 +51,10 @@ def _orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
         orphans.Parent("products", products, F.col("id"), F.lit(0).cast("bigint"), micros(products, "created_at"), micros(products, "deleted_at")),
     ]
     order_id, ordered = exact_double_key(F.col("order_id")), micros(orders, "ordered_at")
-    events = events.withColumn("us", iso_micros(F.col("ts"))).where(F.col("us").isNotNull())
     references = [
         orphans.Reference("users", "shop_orders", "user_id", orders, F.col("user_id"), order_id, ordered),
         orphans.Reference("products", "shop_orders", "product_id", orders, F.col("product_id"), order_id, ordered),
-        orphans.Reference("users", "user_events", "user_id", events, F.col("user_id"), F.col("event_id"), F.col("us")),
+        orphans.Reference("users", "user_events", "user_id", events, F.col("user_id"), F.col("event_id"), iso_micros(F.col("ts")), timed=True),
     ]
     return orphans.orphan_references(parents, references)
 
@@ -79,12 +79,11 @@ def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_user_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows, amounts and their sum, least and greatest for each table and user, as stored; amount is the quantity of orders."""
-    whole = F.round(F.col("amount") * 100).cast("bigint")
     return hotkeys.per_key_totals(
         _keyed(spark, sf_dir).where(F.col("user_id").isNotNull()),
         ["ref_table", "user_id"],
         {
-            "n_rows": F.count(F.lit(1)), "n_amounts": F.count("amount"), "sum_hundredths": F.sum(whole), "least": F.min("amount"), "greatest": F.max("amount"),
+            "n_rows": F.count(F.lit(1)), "n_amounts": F.count("amount"), "total": F.round(F.sum("amount"), 2), "least": F.min("amount"), "greatest": F.max("amount"),
         },
     )
 
@@ -93,6 +92,13 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hotkeys.dominating_keys(_keyed(spark, sf_dir), "ref_table", "user_id", DOMINATING_SHARE).select("ref_table", "user_id")
 
 
+def p3_inexact_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each table whose key is given but no exact whole number; per-user results have no row for them."""
+    tables = {"shop_orders": ["user_id", "product_id", "order_id"], "user_events": ["user_id"]}
+    found = [inexact_keys(_table(spark, sf_dir, t).withColumn("ref_table", F.lit(t)), "ref_table", keys) for t, keys in tables.items()]
+    return found[0].unionByName(found[1])
+
+
 # --- 4: sessions
 
 
@@ -138,7 +144,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_rejects, p1_users, p1_products, p2_found, p2_counts, p3_found, p3_user_totals, p4_found, p4_sessions, p5_found, p5_features, p5_cells)
+    for f in (p1_found, p1_rejects, p1_users, p1_products, p2_found, p2_counts, p3_found, p3_user_totals, p3_inexact_keys, p4_found, p4_sessions, p5_found, p5_features, p5_cells)
 }
 
 _Q = '"([^"]|"")*"'
@@ -211,6 +217,14 @@ WITH k AS (
 
 SQL = {
     "p1_found": _LINES + "SELECT line_id, reason FROM judged WHERE reason IS NOT NULL",
+    "p1_rejects": _LINES.replace("SELECT line_id, feed, file_name, line_no, coalesce(line, '') AS line", "SELECT line_id, feed, file_name, line_no, line AS own, coalesce(line, '') AS line")
+    + "SELECT line_id, feed, file_name, line_no, reason, own AS line FROM judged WHERE reason IS NOT NULL",
+    "p3_inexact_keys": """
+WITH k AS (
+  SELECT 'shop_orders' AS ref_table, 'user_id' AS field, user_id AS v FROM shop_orders UNION ALL SELECT 'shop_orders', 'product_id', product_id FROM shop_orders
+  UNION ALL SELECT 'shop_orders', 'order_id', order_id FROM shop_orders UNION ALL SELECT 'user_events', 'user_id', user_id FROM user_events
+)
+SELECT ref_table, field, count(*) AS n_rows, count(*) FILTER (v <> floor(v) OR abs(v) > 9007199254740992) AS n_inexact FROM k GROUP BY ref_table, field""",
     "p1_users": _LINES
     + f"SELECT line_id, file_name, line_no, TRY_CAST(trim({_plain('f1')}) AS DOUBLE) AS id, {_plain('f2')} AS name, {_plain('f3')} AS email, CASE WHEN txt <> '' THEN num END AS age FROM judged WHERE reason IS NULL AND feed = 'users'",
     "p1_products": _LINES
@@ -220,7 +234,7 @@ SQL = {
     "p3_found": _KEYED
     + "SELECT ref_table, user_id FROM (SELECT ref_table, user_id, count(*) AS n, sum(count(*)) OVER (PARTITION BY ref_table) AS total FROM k GROUP BY ref_table, user_id) WHERE user_id IS NOT NULL AND n > 0.02 * total",
     "p3_user_totals": _KEYED
-    + "SELECT ref_table, user_id, count(*) AS n_rows, count(amount) AS n_amounts, CAST(sum(CAST(round(amount * 100) AS BIGINT)) AS BIGINT) AS sum_hundredths, min(amount) AS least, max(amount) AS greatest FROM k WHERE user_id IS NOT NULL GROUP BY ref_table, user_id",
+    + "SELECT ref_table, user_id, count(*) AS n_rows, count(amount) AS n_amounts, round(sum(amount), 2) AS total, min(amount) AS least, max(amount) AS greatest FROM k WHERE user_id IS NOT NULL GROUP BY ref_table, user_id",
     "p4_found": _SESSIONS + "SELECT user_id, min(ms) AS session_start_ms, max(ms) AS session_end_ms FROM numbered GROUP BY user_id, s",
     "p4_sessions": _SESSIONS
     + "SELECT user_id, min(ms) AS session_start_ms, max(ms) AS session_end_ms, max(ms) - min(ms) AS duration_ms, count(*) AS n_events FROM numbered GROUP BY user_id, s",

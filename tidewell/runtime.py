@@ -71,6 +71,17 @@ def exact_double_key(key: Column) -> Column:
     return F.when(whole, key).try_cast("bigint")
 
 
+def inexact_keys(rows: DataFrame, part: str, keys: list[str]) -> DataFrame:
+    """What ``exact_double_key`` leaves out: for each part and key field the rows, and those whose key is given but isn't an exact whole number.
+
+    Columns ``part``'s name, ``field``, ``n_rows`` and ``n_inexact``. An empty input gives no rows.
+    """
+    counts = [F.count_if(F.col(k).isNotNull() & exact_double_key(F.col(k)).isNull()).alias(k) for k in keys]
+    found = rows.groupBy(part).agg(F.count(F.lit(1)).alias("n_rows"), F.struct(*counts).alias("by"))
+    fields = F.explode(F.array(*(F.struct(F.lit(k).alias("field"), F.col("by")[k].alias("n_inexact")) for k in keys))).alias("f")
+    return found.select(part, "n_rows", fields).select(part, "f.field", "n_rows", "f.n_inexact")
+
+
 def micros(df: DataFrame, name: str) -> Column:
     """Microseconds since 1970 UTC of a timestamp column; one without zone means UTC, whatever the session's zone."""
     column = F.col(name)

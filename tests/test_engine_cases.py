@@ -28,23 +28,28 @@ def rows(engine, query):
     return [json.loads(line) for line in out.getvalue().splitlines()]
 
 
+def titles(*names):
+    return [{"title": n} for n in names]
+
+
 GOLDEN = [
-    ("SELECT name, age FROM users WHERE age > 29 ORDER BY age DESC", [{"age": 42, "name": "Eve"}, {"age": 35, "name": "Charlie"}, {"age": 30, "name": "Alice"}]),
-    ("SELECT COUNT(*) AS n, MIN(age) AS lo, MAX(age) AS hi, AVG(age) AS mean FROM users", [{"n": 5, "lo": 25, "hi": 42, "mean": 32}]),
-    ("SELECT action, COUNT(*) AS n FROM events GROUP BY action ORDER BY n DESC LIMIT 1", [{"action": "login", "n": 3}]),
-    ("SELECT name, price * 2 AS twice FROM products WHERE price < 10 ORDER BY twice", [{"name": "Nail", "twice": 9.98}, {"name": "Mug", "twice": 15}, {"name": "Hammer", "twice": 19.98}]),
-    ("SELECT name FROM users WHERE age BETWEEN 28 AND 35 ORDER BY name", [{"name": n} for n in ("Alice", "Charlie", "Diana")]),
-    ("SELECT name FROM users WHERE age NOT IN (25, 28) ORDER BY name", [{"name": n} for n in ("Alice", "Charlie", "Eve")]),
-    ("SELECT name FROM users WHERE name LIKE '%li%' ORDER BY name", [{"name": "Alice"}, {"name": "Charlie"}]),
-    ("SELECT name FROM users WHERE name NOT LIKE '%li%' ORDER BY name", [{"name": n} for n in ("Bob", "Diana", "Eve")]),
-    ("SELECT name FROM users ORDER BY age DESC LIMIT 3", [{"name": n} for n in ("Eve", "Charlie", "Alice")]),
-    ("SELECT id, name FROM sparse WHERE name IS NULL", [{"id": 3, "name": None}]),
-    ("SELECT * FROM sparse WHERE id = 4", [{"id": 4, "name": "nullish", "tag": None, "value": None}]),
-    ("SELECT DISTINCT category FROM products ORDER BY category", [{"category": c} for c in ("electronics", "misc", "tools")]),
-    ("SELECT age / 7 AS a, COUNT(*) / 2 AS c FROM users WHERE id = 1", [{"a": 30 / 7, "c": 0}]),
-    ("SELECT u.name FROM users u LEFT JOIN orders o ON u.id = o.user_id WHERE o.order_id IS NULL", [{"name": "Eve"}]),
-    ("SELECT name FROM users WHERE age > 1000", []),
-    ("SELECT age * 2, UPPER(name) FROM users WHERE id = 2", [{'("age" * 2)': 50, 'UPPER("name")': "BOB"}]),
+    ("SELECT title, crew FROM boats WHERE crew >= 6 ORDER BY crew", [{"title": "Dorado", "crew": 6}, {"title": "Corvo", "crew": 9}, {"title": "Falke", "crew": 12}]),
+    ("SELECT COUNT(*) AS n, MIN(crew) AS lo, MAX(crew) AS hi, SUM(crew) AS hands FROM boats", [{"n": 7, "lo": 2, "hi": 12, "hands": 41}]),
+    ("SELECT AVG(crew) AS mean FROM boats WHERE harbour = 'Porto'", [{"mean": 20 / 3}]),
+    ("SELECT kind, COUNT(*) AS n FROM signals GROUP BY kind ORDER BY n DESC LIMIT 2", [{"kind": "depart", "n": 4}, {"kind": "radio", "n": 3}]),
+    ("SELECT goods, tonnes / 2 AS half FROM cargo WHERE tonnes < 32 ORDER BY half DESC", [{"goods": "Wine", "half": 15.5}, {"goods": "Glass", "half": 6.375}, {"goods": "Fish", "half": 3.25}]),
+    ("SELECT title FROM boats WHERE crew BETWEEN 3 AND 5 ORDER BY title", titles("Albatros", "Elster", "Gaivota")),
+    ("SELECT title FROM boats WHERE crew NOT IN (2, 4, 12) ORDER BY title", titles("Corvo", "Dorado", "Elster", "Gaivota")),
+    ("SELECT title FROM boats WHERE title LIKE '%LST%'", titles("Elster")),
+    ("SELECT title FROM boats WHERE title NOT LIKE '%r%' ORDER BY title", titles("Falke", "Gaivota")),
+    ("SELECT title FROM boats ORDER BY crew DESC LIMIT 2", titles("Falke", "Corvo")),
+    ("SELECT n, ok FROM gaps WHERE ok IS NOT NULL", [{"n": 30, "ok": 1}]),
+    ("SELECT * FROM gaps WHERE mark = 'r'", [{"n": None, "mark": "r", "level": None, "ok": None}]),
+    ("SELECT DISTINCT kind FROM cargo ORDER BY kind", [{"kind": k} for k in ("boxes", "bulk", "cold")]),
+    ("SELECT crew / 8 AS a, COUNT(*) / 4 AS c FROM boats WHERE boat = 20", [{"a": 1.5, "c": 0}]),
+    ("SELECT b.title FROM boats b LEFT JOIN trips t ON b.boat = t.boat WHERE t.trip IS NULL ORDER BY b.title", titles("Elster", "Gaivota")),
+    ("SELECT title FROM boats WHERE crew > 1000", []),
+    ("SELECT crew * 3, LOWER(title) FROM boats WHERE boat = 12", [{'("crew" * 3)': 6, 'LOWER("title")': "brise"}]),
 ]
 
 
@@ -56,13 +61,13 @@ def test_golden(files, query, expected):
 @pytest.mark.parametrize(
     "query,n",
     [
-        ("SELECT * FROM users", 5),
-        ("SELECT e.action, u.name FROM events e JOIN users u ON e.user_id = u.id", 6),
-        ("SELECT o.order_id, u.name, p.name AS product FROM orders o JOIN users u ON o.user_id = u.id JOIN products p ON o.product_id = p.id ORDER BY o.order_id", 6),
-        ("SELECT u.name, o.order_id FROM users u LEFT JOIN orders o ON u.id = o.user_id", 7),
-        ("SELECT u.name, o.order_id FROM orders o RIGHT JOIN users u ON u.id = o.user_id", 7),
-        ("SELECT name FROM users WHERE (age IN (25, 30) OR name LIKE 'e%') AND age BETWEEN 20 AND 50", 3),
-        ("SELECT action FROM events e JOIN users u ON e.user_id = u.id WHERE u.age > 29", 4),
+        ("SELECT * FROM boats", 7),
+        ("SELECT s.kind, b.title FROM signals s JOIN boats b ON s.boat = b.boat", 8),
+        ("SELECT t.trip, b.title, c.goods FROM trips t JOIN boats b ON t.boat = b.boat JOIN cargo c ON t.code = c.code ORDER BY t.trip", 8),
+        ("SELECT b.title, t.trip FROM boats b LEFT JOIN trips t ON b.boat = t.boat", 10),
+        ("SELECT b.title, t.trip FROM trips t RIGHT JOIN boats b ON b.boat = t.boat", 10),
+        ("SELECT title FROM boats WHERE (crew IN (2, 9) OR title LIKE 'e%') AND crew BETWEEN 1 AND 8", 2),
+        ("SELECT kind FROM signals s JOIN boats b ON s.boat = b.boat WHERE b.crew > 3", 6),
     ],
 )
 def test_counts(files, query, n):
@@ -71,12 +76,12 @@ def test_counts(files, query, n):
 
 def test_keys_are_sorted_and_the_last_name_wins(files):
     out = io.StringIO()
-    files.print("SELECT * FROM orders o JOIN users u ON o.user_id = u.id ORDER BY order_id LIMIT 1", out)
-    assert list(json.loads(out.getvalue())) == sorted(["order_id", "user_id", "product_id", "quantity", "id", "name", "email", "age"])
+    files.print("SELECT * FROM trips t JOIN boats b ON t.boat = b.boat ORDER BY trip LIMIT 1", out)
+    assert list(json.loads(out.getvalue())) == ["boat", "code", "crew", "days", "harbour", "title", "trip"]
     assert rows(files, "SELECT 1 AS k, 2 AS k") == [{"k": 2}]
 
 
-@pytest.mark.parametrize("query", ["SELECT x FROM users", "SELECT u.x FROM users u", "SELECT SUM(*) FROM users", "SELECT id FROM users a JOIN users b ON a.id = b.id", "SELECT NOSUCH(1) FROM users", "SELECT name FROM users WHERE COUNT(*) > 1", "SELECT name FROM users ORDER BY 5"])
+@pytest.mark.parametrize("query", ["SELECT x FROM boats", "SELECT b.x FROM boats b", "SELECT SUM(*) FROM boats", "SELECT boat FROM boats a JOIN boats b ON a.boat = b.boat", "SELECT NOSUCH(1) FROM boats", "SELECT title FROM boats WHERE COUNT(*) > 1", "SELECT title FROM boats ORDER BY 5"])
 def test_errors(files, query):
     with pytest.raises(QueryError):
         files.sql(query)
@@ -87,15 +92,16 @@ def test_errors(files, query):
 
 @pytest.fixture(scope="module")
 def database(tmp_path_factory):
-    path = str(tmp_path_factory.mktemp("db") / "shop.db")
+    path = str(tmp_path_factory.mktemp("db") / "port.db")
     db = sqlite3.connect(path)
     db.executescript(
-        """CREATE TABLE departments (id INTEGER, dept_name TEXT, budget REAL); INSERT INTO departments VALUES (1, 'Eng', 10.5), (2, 'Ops', 20), (3, 'HR', NULL);
-        CREATE TABLE typed (int_col INTEGER, real_col REAL, text_col TEXT, blob_col BLOB); INSERT INTO typed VALUES (42, 3.14, 'hello', x'00ff');
-        CREATE TABLE empty (id INTEGER, name TEXT); CREATE TABLE lookup (code TEXT, label TEXT); INSERT INTO lookup VALUES ('login', 'in'), ('logout', 'out'), ('x', 'other');"""
+        """CREATE TABLE piers (pier INTEGER, side TEXT, depth REAL); INSERT INTO piers VALUES (11, 'North', 7.5), (14, 'South', NULL), (15, 'East', 4), (31, 'West', 9);
+        CREATE TABLE mixed (whole_no INTEGER, share REAL, label TEXT, raw BLOB); INSERT INTO mixed VALUES (-17, 0.625, 'quay', x'beef');
+        CREATE TABLE unused (a INTEGER, b TEXT); CREATE TABLE flags (sign TEXT, meaning TEXT); INSERT INTO flags VALUES ('radio', 'calls'), ('alarm', 'help'), ('depart', 'off'), ('none', '-');
+        CREATE TABLE far (id INTEGER PRIMARY KEY, x TEXT); INSERT INTO far VALUES (-5, 'a'), (1000000000000, 'b');"""
     )
-    db.execute("CREATE TABLE nums (id INTEGER, val REAL)")
-    db.executemany("INSERT INTO nums VALUES (?, ?)", [(i, i * 1.1) for i in range(1, 1001)])
+    db.execute("CREATE TABLE soundings (id INTEGER, fathoms REAL)")
+    db.executemany("INSERT INTO soundings VALUES (?, ?)", [(k, k * 0.7) for k in range(1500)])
     db.commit()
     return path
 
@@ -107,36 +113,40 @@ def with_table(files, database, name, table=None):
 
 
 def test_sqlite_types_and_filters(files, database):
-    engine = with_table(files, database, "typed")
-    frame = engine.frame("typed")
+    engine = with_table(files, database, "mixed")
+    frame = engine.frame("mixed")
     assert [t for _, t in frame.dtypes] == ["bigint", "double", "string", "binary"]
-    assert rows(engine, "SELECT * FROM typed") == [{"blob_col": "AP8=", "int_col": 42, "real_col": 3.14, "text_col": "hello"}]
-    assert rows(engine, "SELECT int_col / 5 AS q FROM typed WHERE int_col = 42 AND text_col IN ('hello', 'x')") == [{"q": 8}]
+    assert rows(engine, "SELECT * FROM mixed") == [{"raw": "vu8=", "whole_no": -17, "share": 0.625, "label": "quay"}]
+    assert rows(engine, "SELECT whole_no / 5 AS q FROM mixed WHERE whole_no = -17 AND label IN ('quay', 'x')") == [{"q": -3}]
 
 
 def test_sqlite_override_join_and_nulls(files, database):
-    engine = with_table(files, database, "d", "departments")
-    assert rows(engine, "SELECT u.name, d.dept_name FROM users u LEFT JOIN d ON u.id = d.id WHERE u.id > 2 ORDER BY u.id") == [
-        {"name": "Charlie", "dept_name": "HR"}, {"name": "Diana", "dept_name": None}, {"name": "Eve", "dept_name": None}]
-    assert rows(engine, "SELECT dept_name FROM d WHERE budget IS NULL") == [{"dept_name": "HR"}]
-
-
-def test_sqlite_large_and_empty(files, database):
-    assert rows(with_table(files, database, "nums"), "SELECT COUNT(*) AS n, ROUND(SUM(val), 4) AS s FROM nums") == [{"n": 1000, "s": round(sum(i * 1.1 for i in range(1, 1001)), 4)}]
-    engine = with_table(files, database, "empty")
-    assert rows(engine, "SELECT * FROM empty") == [] and rows(engine, "SELECT COUNT(*) AS n FROM empty") == [{"n": 0}]
+    engine = with_table(files, database, "p", "piers")
+    assert rows(engine, "SELECT b.title, p.side FROM boats b LEFT JOIN p ON b.boat = p.pier WHERE b.boat < 16 ORDER BY b.boat") == [
+        {"title": "Albatros", "side": "North"}, {"title": "Brise", "side": None}, {"title": "Corvo", "side": "South"}, {"title": "Dorado", "side": "East"}]
+    assert rows(engine, "SELECT side FROM p WHERE depth IS NULL") == [{"side": "South"}]
+
+
+def test_sqlite_large_empty_and_wide_ids(files, database):
+    total = round(sum(k * 0.7 for k in range(1500)), 4)
+    assert rows(with_table(files, database, "soundings"), "SELECT COUNT(*) AS n, ROUND(SUM(fathoms), 4) AS s FROM soundings") == [{"n": 1500, "s": total}]
+    engine = with_table(files, database, "unused")
+    assert rows(engine, "SELECT * FROM unused") == [] and rows(engine, "SELECT COUNT(*) AS n FROM unused") == [{"n": 0}]
+    engine = with_table(files, database, "far")
+    assert rows(engine, "SELECT id, x FROM far ORDER BY id") == [{"id": -5, "x": "a"}, {"id": 10**12, "x": "b"}]
+    assert engine.frame("far").rdd.getNumPartitions() <= 2
     with pytest.raises(Exception, match="no such table"):
         with_table(files, database, "nothing").sql("SELECT * FROM nothing").collect()
 
 
 def test_access_paths(files, database):
-    engine = with_table(files, database, "lookup").add_source("s", "stdin")
-    assert engine.explain_access("SELECT * FROM s JOIN lookup ON s.a = lookup.code OVER 1m") == {"lookup": ATTACHED}
-    assert engine.explain_access("SELECT * FROM s JOIN users u ON s.user_id = u.id OVER 1m") == {"users": INDEXED}
-    assert engine.explain_access("SELECT * FROM s JOIN users u ON u.id = user_id OVER 1m") == {"users": INDEXED}
-    for on in ("s.user_id = u.id AND u.age > 1", "s.user_id < u.id", "user_id = id", "u.id = u.age"):
-        assert engine.explain_access(f"SELECT * FROM s JOIN users u ON {on} OVER 1m") == {"users": FULL_SCAN}
-    assert engine.explain_access("SELECT * FROM users u JOIN s ON s.user_id = u.id OVER 1m") == {"users": FULL_SCAN}
+    engine = with_table(files, database, "flags").add_source("s", "stdin")
+    assert engine.explain_access("SELECT * FROM s JOIN flags ON s.a = flags.sign OVER 1m") == {"flags": ATTACHED}
+    assert engine.explain_access("SELECT * FROM s JOIN boats b ON s.boat_no = b.boat OVER 1m") == {"boats": INDEXED}
+    assert engine.explain_access("SELECT * FROM s JOIN boats b ON b.boat = boat_no OVER 1m") == {"boats": INDEXED}
+    for on in ("s.boat_no = b.boat AND b.crew > 1", "s.boat_no < b.boat", "boat_no = boat", "b.boat = b.crew"):
+        assert engine.explain_access(f"SELECT * FROM s JOIN boats b ON {on} OVER 1m") == {"boats": FULL_SCAN}
+    assert engine.explain_access("SELECT * FROM boats b JOIN s ON s.boat_no = b.boat OVER 1m") == {"boats": FULL_SCAN}
 
 
 # --- file shapes
@@ -163,22 +173,22 @@ def test_csv_ragged_header_only_and_empty(files, tmp_path):
 
 
 def test_json_shapes(files, tmp_path):
-    one = '{"name":"app","config":{"port":8080,"debug":true,"a":"<&>"}}\n'
-    assert load(files, tmp_path, "nested.jsonl", one) == [{"name": "app", "config": '{"a":"\\u003c\\u0026\\u003e","debug":true,"port":8080}'}]
-    assert load(files, tmp_path, "array.json", '{"id": 1,\n "tags": ["red", "blue"]} {"id": 2}\n[3]{"id": 4}', "SELECT * FROM t ORDER BY id") == [{"id": 1, "tags": '["red","blue"]'}, {"id": 2, "tags": None}]
-    assert load(files, tmp_path, "bool.jsonl", '{"n":"on","active":true}\n{"n":"off","active":false}\n', "SELECT n FROM t WHERE active = TRUE") == [{"n": "on"}]
+    one = '{"pier":"east","depth":{"low":2,"open":false,"b":"<&>"}}\n'
+    assert load(files, tmp_path, "nested.jsonl", one) == [{"pier": "east", "depth": '{"b":"\\u003c\\u0026\\u003e","low":2,"open":false}'}]
+    assert load(files, tmp_path, "array.json", '{"no": 5,\n "crew": ["ann", "bo"]} {"no": 6}\n[3]{"no": 7}', "SELECT * FROM t ORDER BY no") == [{"no": 5, "crew": '["ann","bo"]'}, {"no": 6, "crew": None}]
+    assert load(files, tmp_path, "bool.jsonl", '{"lamp":"red","lit":false}\n{"lamp":"green","lit":true}\n', "SELECT lamp FROM t WHERE lit = TRUE") == [{"lamp": "green"}]
     assert load(files, tmp_path, "cut.jsonl", '{"a":1}\n{"a":2}\n{"a":\n{"a":4}\n', "SELECT a FROM t ORDER BY a") == [{"a": 1}, {"a": 2}]
-    assert load(files, tmp_path, "signs.jsonl", jsonl([{"x": v} for v in (5, -3, 0)]), "SELECT x FROM t WHERE x > -1 ORDER BY x") == [{"x": 0}, {"x": 5}]
+    assert load(files, tmp_path, "signs.jsonl", jsonl([{"x": v} for v in (8, -6, 0, 2)]), "SELECT x FROM t WHERE x > -4 ORDER BY x") == [{"x": 0}, {"x": 2}, {"x": 8}]
     assert load(files, tmp_path, "empty.jsonl", "", "SELECT COUNT(*) AS n FROM t") == []
     assert load(files, tmp_path, "null.jsonl", '{"a":null,"b":1}\n{"a":"x","b":2}\n', "SELECT a FROM t WHERE a IS NULL") == [{"a": None}]
 
 
 def test_empty_source_switch(files, tmp_path):
-    (tmp_path / "e.csv").write_text("id,x\n")
-    for absent, n in ((True, 0), (False, 5)):
+    (tmp_path / "e.csv").write_text("boat,x\n")
+    for absent, n in ((True, 0), (False, 7)):
         engine = Engine(files.spark, empty_source_is_absent=absent)
-        engine.add_source("users", files.specs["users"].path).add_source("e", str(tmp_path / "e.csv"))
-        assert len(rows(engine, "SELECT u.name FROM users u LEFT JOIN e ON u.id = e.id")) == n
+        engine.add_source("boats", files.specs["boats"].path).add_source("e", str(tmp_path / "e.csv"))
+        assert len(rows(engine, "SELECT b.title FROM boats b LEFT JOIN e ON b.boat = e.boat")) == n
 
 
 def test_uris():
@@ -196,25 +206,25 @@ def test_uris():
 
 
 def test_stdin_is_an_unbound_table(files):
-    engine = Engine(files.spark, stdin=io.StringIO('{"user_id":1,"action":"login"}\n{"user_id":2,"action":"click"}\n\nnot json\n{"user_id":3}\n'))
-    engine.add_source("users", files.specs["users"].path)
-    assert rows(engine, "SELECT u.name, e.action FROM events e JOIN users u ON e.user_id = u.id ORDER BY u.id") == [{"name": "Alice", "action": "login"}, {"name": "Bob", "action": "click"}]
+    engine = Engine(files.spark, stdin=io.StringIO('{"boat":15,"kind":"arrive"}\n{"boat":12,"kind":"depart"}\n\nnot json\n{"boat":20}\n'))
+    engine.add_source("boats", files.specs["boats"].path)
+    assert rows(engine, "SELECT b.title, s.kind FROM seen s JOIN boats b ON s.boat = b.boat ORDER BY b.boat") == [{"title": "Brise", "kind": "depart"}, {"title": "Dorado", "kind": "arrive"}]
     with pytest.raises(QueryError, match="only one"):
         Engine(files.spark).sql("SELECT 1 FROM a JOIN b ON a.x = b.x")
 
 
 def test_command_line(files, spark, monkeypatch, capsys):
-    monkeypatch.setattr("sys.stdin", io.StringIO('{"id":1,"ok":true}\n'))
-    users = files.specs["users"].path
-    assert main(["--source", f"u={users}", "SELECT u.name, s.ok FROM s JOIN u ON s.id = u.id; SELECT 2"], spark) == 0
-    assert capsys.readouterr().out == '{"name":"Alice","ok":1}\n'
-    assert main(["-s", f"u={users}", "SELECT nope FROM u"], spark) == 1
+    monkeypatch.setattr("sys.stdin", io.StringIO('{"boat":17,"ok":true}\n'))
+    boats = files.specs["boats"].path
+    assert main(["--source", f"b={boats}", "SELECT b.title, s.ok FROM s JOIN b ON s.boat = b.boat; SELECT 2"], spark) == 0
+    assert capsys.readouterr().out == '{"ok":1,"title":"Elster"}\n'
+    assert main(["-s", f"b={boats}", "SELECT nope FROM b"], spark) == 1
     assert "no such column" in capsys.readouterr().err
 
 
 def test_rebinding_replaces_a_source(files):
-    engine = Engine(files.spark).add_source("t", files.specs["users"].path).add_source("t", files.specs["products"].path)
-    assert len(rows(engine, "SELECT category FROM t")) == 5
+    engine = Engine(files.spark).add_source("t", files.specs["boats"].path).add_source("t", files.specs["cargo"].path)
+    assert len(rows(engine, "SELECT kind FROM t")) == 6
 
 
 def test_batch_over_in_memory_records(files):

@@ -22,48 +22,48 @@ def run(engine, query, inputs, **options):
 
 
 @pytest.fixture(scope="module")
-def users(spark, tmp_path_factory):
-    return write_all(tmp_path_factory.mktemp("files"))["users"]
+def boats(spark, tmp_path_factory):
+    return write_all(tmp_path_factory.mktemp("files"))["boats"]
 
 
-def test_each_record_prints_the_whole_window(spark, users):
-    events = [{"user_id": u, "action": a} for u, a in ((1, "login"), (2, "click"), (5, "login"))]
-    engine = Engine(spark).add_source("users", users)
-    query = "SELECT e.action, u.name FROM events e JOIN users u ON e.user_id = u.id {} OVER 24h"
-    assert [r["name"] for r in run(engine, query.format(""), {"events": iter(events)})].count("Alice") == 3
-    assert len(run(engine, query.format(""), {"events": iter(events)})) == 6
-    assert len(run(engine, query.format("WHERE u.age > 29"), {"events": iter(events)})) == 4
+def test_each_record_prints_the_whole_window(spark, boats):
+    signals = [{"boat": b, "kind": k} for b, k in ((12, "depart"), (20, "radio"), (23, "radio"), (20, "arrive"))]
+    engine = Engine(spark).add_source("boats", boats)
+    query = "SELECT s.kind, b.title FROM signals s JOIN boats b ON s.boat = b.boat {} OVER 24h"
+    assert [r["title"] for r in run(engine, query.format(""), {"signals": iter(signals)})].count("Brise") == 4
+    assert len(run(engine, query.format(""), {"signals": iter(signals)})) == 1 + 2 + 3 + 4
+    assert len(run(engine, query.format("WHERE b.crew > 3"), {"signals": iter(signals)})) == 0 + 1 + 2 + 3
 
 
-def test_groups_left_join_and_late_columns(spark, users):
-    engine = Engine(spark).add_source("users", users)
-    got = run(engine, "SELECT action, COUNT(*) AS n FROM events GROUP BY action OVER 24h", {"events": iter([{"action": a} for a in ("login", "click", "login", "login")])})
-    assert len(got) == 1 + 2 + 2 + 2 and {r["action"]: r["n"] for r in got[-2:]} == {"login": 3, "click": 1}
-    got = run(engine, "SELECT e.user_id, u.name, e.extra FROM events e LEFT JOIN users u ON e.user_id = u.id OVER 24h", {"events": iter([{"user_id": 1}, {"user_id": 99, "extra": "x"}])})
+def test_groups_left_join_and_late_columns(spark, boats):
+    engine = Engine(spark).add_source("boats", boats)
+    got = run(engine, "SELECT kind, COUNT(*) AS n FROM signals GROUP BY kind OVER 24h", {"signals": iter([{"kind": k} for k in ("radio", "alarm", "alarm", "depart", "alarm")])})
+    assert len(got) == 1 + 2 + 2 + 3 + 3 and {r["kind"]: r["n"] for r in got[-3:]} == {"radio": 1, "alarm": 3, "depart": 1}
+    got = run(engine, "SELECT s.boat, b.title, s.extra FROM signals s LEFT JOIN boats b ON s.boat = b.boat OVER 24h", {"signals": iter([{"boat": 17}, {"boat": 98, "extra": "x"}])})
     assert sorted(map(json.dumps, got)) == sorted(map(json.dumps, [
-        {"extra": None, "name": "Alice", "user_id": 1}, {"extra": None, "name": "Alice", "user_id": 1}, {"extra": "x", "name": None, "user_id": 99}]))
+        {"boat": 17, "extra": None, "title": "Elster"}, {"boat": 17, "extra": None, "title": "Elster"}, {"boat": 98, "extra": "x", "title": None}]))
 
 
 def test_two_streams_wait_for_each_other(spark):
-    orders, payments = queue.Queue(), queue.Queue()
+    calls, replies = queue.Queue(), queue.Queue()
 
     def feed(q):
         while (r := q.get()) is not None:
             yield r
 
     out = io.StringIO()
-    query = "SELECT o.item, p.method FROM orders o JOIN payments p ON o.order_id = p.order_id OVER 24h"
-    thread = threading.Thread(target=stream, args=(Engine(spark), query, {"orders": feed(orders), "payments": feed(payments)}, out))
+    query = "SELECT c.caller, r.words FROM calls c JOIN replies r ON c.channel = r.channel OVER 24h"
+    thread = threading.Thread(target=stream, args=(Engine(spark), query, {"calls": feed(calls), "replies": feed(replies)}, out))
     thread.start()
-    orders.put({"order_id": 1, "item": "book"})
+    calls.put({"channel": 16, "caller": "mole"})
     time.sleep(4)
     assert out.getvalue() == ""
-    payments.put({"order_id": 1, "method": "card"})
+    replies.put({"channel": 16, "words": "aye"})
     deadline = time.time() + 30
-    while "card" not in out.getvalue() and time.time() < deadline:
+    while "aye" not in out.getvalue() and time.time() < deadline:
         time.sleep(0.1)
-    assert json.loads(out.getvalue().splitlines()[0]) == {"item": "book", "method": "card"}  # while both are still open
-    orders.put(None), payments.put(None)
+    assert json.loads(out.getvalue().splitlines()[0]) == {"caller": "mole", "words": "aye"}  # while both are still open
+    calls.put(None), replies.put(None)
     thread.join(60)
     assert not thread.is_alive()
 
@@ -95,9 +95,9 @@ def test_window_roll_over_with_a_set_clock(spark):
     assert [r["n"] for r in got] == [sum(s == starts[k] for s in starts[: k + 1]) for k in range(4)]
 
 
-def test_needs_a_stream(spark, users):
+def test_needs_a_stream(spark, boats):
     with pytest.raises(QueryError, match="at least one streaming source"):
-        stream(Engine(spark).add_source("users", users), "SELECT * FROM users OVER 1m", {}, io.StringIO())
+        stream(Engine(spark).add_source("boats", boats), "SELECT * FROM boats OVER 1m", {}, io.StringIO())
 
 
 def test_windows_count_from_year_one():

@@ -13,8 +13,8 @@ from pyspark.sql.types import BinaryType, DoubleType, LongType, StringType, Stru
 
 from tidewell.plans.dialect import QueryError
 
-#: Rows of one partition.
-PARTITION_ROWS = 500_000
+#: About so many rows of one partition, and so many partitions at most.
+PARTITION_ROWS, MOST_PARTITIONS = 500_000, 4_096
 
 
 def _open(path: str) -> sqlite3.Connection:
@@ -63,14 +63,22 @@ class _Reader(DataSourceReader):
             yield f  # Spark tests again, since a value of another class than declared may be among them
 
     def partitions(self) -> list[InputPartition]:
+        """Ranges of row ids, cut where the ids lie: a gap of any width costs nothing."""
+        table = _quote(self.table)
         with _open(self.path) as db:
             try:
-                low, high = db.execute(f"SELECT min(rowid), max(rowid) FROM {_quote(self.table)}").fetchone()
+                low, high, n = db.execute(f"SELECT min(rowid), max(rowid), count(*) FROM {table}").fetchone()
             except sqlite3.Error:  # a view, or a table without row ids
                 return [_Range(None, None)]
-        if low is None:
-            return [_Range(0, 0)]
-        return [_Range(at, min(high, at + PARTITION_ROWS - 1)) for at in range(low, high + 1, PARTITION_ROWS)]
+            if low is None:
+                return [_Range(0, 0)]
+            rows = max(PARTITION_ROWS, -(-n // MOST_PARTITIONS))
+            parts = []
+            while low is not None:  # each step goes through one range of the ids' tree
+                after = db.execute(f"SELECT rowid FROM {table} WHERE rowid >= ? ORDER BY rowid LIMIT 1 OFFSET ?", (low, rows)).fetchone()
+                parts.append(_Range(low, high if after is None else after[0] - 1))
+                low = after and after[0]
+        return parts
 
     def read(self, part: _Range) -> Iterator[tuple]:
         tests, given = [t for t, _ in self.tests], [v for _, vs in self.tests for v in vs]

@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidewell.functions.values import (
-    BLOB, BOOL, INT, NULL, REAL, TEXT, TIME, Value, common, double, glob, integer, like, number, text, truth,
+    BLOB, BOOL, INT, NULL, REAL, TEXT, TIME, Value, common, double, glob, integer, like, literal, number, real_text, text, truth,
 )
 
 Builder = Callable[[list[Value]], Value]
@@ -75,11 +75,10 @@ def _length(a):
 def _substr(a):
     """Position 0 stands before the first character; a negative length takes what is before the position."""
     s, size = text(a[0]), F.char_length(text(a[0])).cast("bigint")
-    at = integer(a[1])
-    n = integer(a[2]) if len(a) == 3 else F.lit(2**40)
+    at, n = (F.greatest(F.least(integer(x), F.lit(2**40)), F.lit(-(2**40))) for x in (a[1], a[2] if len(a) == 3 else literal(2**40)))
     begin = F.when(at < 0, size + at + 1).otherwise(at)
     low, high = F.when(n < 0, begin + n).otherwise(begin), F.when(n < 0, begin).otherwise(begin + n)
-    low, high = F.greatest(low, F.lit(1)), F.least(high, size + 1)
+    low, high = F.least(F.greatest(low, F.lit(1)), size + 1), F.least(high, size + 1)
     cut = F.substring(s, low.cast("int"), F.greatest(high - low, F.lit(0)).cast("int"))
     return Value(F.when(~_any_null(a), cut), TEXT)
 
@@ -123,6 +122,16 @@ def _unicode(a):
     return Value(F.when(text(a[0]) != "", F.conv(F.hex(F.encode(F.substring(text(a[0]), 1, 1), "UTF-32")), 16, 10).cast("bigint")), INT)
 
 
+@function("OCTET_LENGTH")
+def _octet_length(a):
+    return Value(F.octet_length(a[0].col if a[0].kind == BLOB else text(a[0])).cast("bigint"), INT)
+
+
+@function("ZEROBLOB")
+def _zeroblob(a):
+    return Value(F.unhex(F.repeat(F.lit("00"), F.greatest(integer(a[0]), F.lit(0)).cast("int"))), BLOB)
+
+
 @function("HEX")
 def _hex(a):
     return Value(F.coalesce(F.hex(a[0].col if a[0].kind == BLOB else text(a[0])), F.lit("")), TEXT)
@@ -161,7 +170,7 @@ def _like(a):
 
 @function("GLOB", least=2)
 def _glob(a):
-    return glob(a[0], a[1])
+    return glob(a[0], a[1]) if isinstance(a[0].literal, str) else _by_engine("glob", INT)(a)
 
 
 @function("SOUNDEX")
@@ -307,18 +316,24 @@ def _typeof(a):
 
 
 def _by_engine(name: str, result: str):
-    """A function whose formats and modifiers are an interpreter of their own."""
+    """A function whose formats and modifiers are an interpreter of their own.
+
+    What that engine calls an error is one here: a function it doesn't have when the query is read, malformed JSON
+    when the row is met.
+    """
     spark_type = {TEXT: "string", INT: "bigint", REAL: "double"}[result]
 
     def build(a: list[Value]) -> Value:
-        marks = ", ".join("?" * len(a))
+        call_ = f"SELECT {name}({', '.join('?' * len(a))})"
         given = [v.literal for v in a]
-        if None not in given and not any(isinstance(g, str) and g.lower() == "now" for g in given):
+        known = None not in given and not any(isinstance(g, str) and g.lower() == "now" for g in given)
+        try:
             # of literals alone the value is known now
-            try:
-                value = sqlite3.connect(":memory:").execute(f"SELECT {name}({marks})", given).fetchone()[0]
-            except sqlite3.Error:
-                value = None
+            value = sqlite3.connect(":memory:").execute(call_, given if known else [None] * len(a)).fetchone()[0]
+        except sqlite3.Error as error:
+            if known or "no such function" in str(error):
+                raise ValueError(str(error)) from None
+        if known:
             return Value(F.lit(value).cast(spark_type), result, literal=value)
 
         def run(*columns: pd.Series) -> pd.Series:
@@ -327,10 +342,7 @@ def _by_engine(name: str, result: str):
             found = []
             for row in zip(*columns, strict=True):
                 plain = [None if v is None or v != v else v.item() if hasattr(v, "item") else v for v in row]
-                try:
-                    value = engine.execute(f"SELECT {name}({marks})", plain).fetchone()[0]
-                except sqlite3.Error:
-                    value = None
+                value = engine.execute(call_, plain).fetchone()[0]
                 found.append(None if value is None else made(value))
             engine.close()
             return pd.Series(found, dtype=object) if result == TEXT else pd.Series(found, dtype="Int64" if result == INT else "float64")
@@ -344,11 +356,33 @@ def _by_engine(name: str, result: str):
 
 _PRINTF, _STRFTIME = _by_engine("printf", TEXT), _by_engine("strftime", TEXT)
 _ENGINE_DATES = {n: _by_engine(n.lower(), k) for n, k in {"DATE": TEXT, "TIME": TEXT, "DATETIME": TEXT, "JULIANDAY": REAL, "UNIXEPOCH": INT}.items()}
-function("PRINTF", "FORMAT", most=_MANY)(_PRINTF)
+_PLAIN_FORMAT = re.compile(r"%(?:(?P<flags>[-+ 0,]*)(?P<width>[0-9]*)(?P<kind>[di])|(?P<text>s)|%)|[^%]+")  # a text's width counts bytes
+
+
+@function("PRINTF", "FORMAT", most=_MANY)
+def _printf(a):
+    """Whole numbers and texts are formatted by built-in expressions if the format is a literal; a null is 0 or empty."""
+    form, pieces, args, at = a[0].literal, [], a[1:], 0
+    if not isinstance(form, str) or not args or all(v.literal is not None for v in args):
+        return _PRINTF(a)
+    while at < len(form):
+        m = _PLAIN_FORMAT.match(form, at)
+        wanted = m and (m["kind"] or m["text"])
+        if m is None or wanted and len(pieces) >= len(args):
+            return _PRINTF(a)
+        if wanted:
+            v = args[len(pieces)]
+            pieces.append(F.coalesce(integer(v), F.lit(0).cast("bigint")) if m["kind"] else F.coalesce(text(v), F.lit("")))
+            if m["kind"] and (re.search(r"(.).*\1|-.*0|0.*-|\+.* | .*\+", m["flags"]) or not m["width"] and re.search("[-0]", m["flags"])):
+                return _PRINTF(a)
+        at = m.end()
+    if len(pieces) != len(args):
+        return _PRINTF(a)
+    return Value(F.format_string(re.sub(r"%([-+ 0,]*[0-9]*)i", r"%\1d", form.replace("%%", "\0")).replace("\0", "%%"), *pieces), TEXT)
+
+
 for _name in ("JSON_SET", "JSON_INSERT", "JSON_REPLACE", "JSON_REMOVE", "JSON_PATCH"):
     function(_name, least=2, most=_MANY)(_by_engine(_name.lower(), TEXT))
-function("JSON_TYPE", least=1, most=2)(_by_engine("json_type", TEXT))
-function("TIMEDIFF", least=2)(_by_engine("timediff", TEXT))
 
 # --- date and time: one ISO text or stored time without modifiers stays in built-in expressions
 
@@ -415,7 +449,52 @@ def _seconds(t: Column) -> Column:
 
 
 function("UNIXEPOCH", least=0, most=_MANY)(_dated("UNIXEPOCH", INT, _seconds))
-function("JULIANDAY", least=0, most=_MANY)(_ENGINE_DATES["JULIANDAY"])
+
+
+def _julian_day(t: Column) -> Column:
+    """Days from noon of 24 November -4713, by whole milliseconds."""
+    near = t + F.make_dt_interval(secs=F.lit(0.0005))
+    ms = _seconds(near) * 1000 + F.date_format(near, "SSS").cast("bigint")
+    return (ms + F.lit(210_866_760_000_000)) / F.lit(86_400_000.0)
+
+
+function("JULIANDAY", least=0, most=_MANY)(_dated("JULIANDAY", REAL, _julian_day))
+
+
+def _months_on(t: Column, months: Column) -> Column:
+    """A time some months on with the same day of the month, which runs over into the next month if there is none."""
+    day = t.cast("date")
+    return F.date_add(F.add_months(F.trunc(day, "month"), months), F.dayofmonth(day) - 1).cast("timestamp_ntz") + (t - day.cast("timestamp_ntz"))
+
+
+@function("TIMEDIFF", least=2)
+def _timediff(a):
+    """What to add to the second time to get the first: sign, whole years and months, then days and time of day."""
+    read = [_instant(Value(F.lit(v.literal), TEXT) if v.literal is not None else v) for v in a]
+    if any(t is None for t in read):
+        return _by_engine("timediff", TEXT)(a)
+    one, two = read
+    up = one >= two
+    between = (F.year(one) - F.year(two)) * 12 + F.month(one) - F.month(two)
+    moved = _months_on(two, between)
+    short = F.when(up, moved > one).otherwise(moved < one)
+    months = F.when(short, between - F.when(up, 1).otherwise(-1)).otherwise(between)
+    rest = one - _months_on(two, months)
+    ms = F.abs(_span_ms(rest))
+    whole = F.abs(months)
+    shown = F.format_string(
+        "%s%04d-%02d-%02d %02d:%02d:%02d.%03d", F.when(up, "+").otherwise("-"), F.floor(whole / 12).cast("int"), (whole % 12).cast("int"), F.floor(ms / 86_400_000).cast("int"),
+        F.floor(ms / 3_600_000 % 24).cast("int"), F.floor(ms / 60_000 % 60).cast("int"), F.floor(ms / 1000 % 60).cast("int"), (ms % 1000).cast("int"),
+    )
+    return Value(F.when(one.isNotNull() & two.isNotNull(), shown), TEXT)
+
+
+def _span_ms(span: Column) -> Column:
+    """Milliseconds of an interval of days and times."""
+    parts = [F.call_function("date_part", F.lit(name), span).cast("double") for name in ("day", "hour", "minute", "second")]
+    return F.round(((parts[0] * 24 + parts[1]) * 60 + parts[2]) * 60_000 + parts[3] * 1000).cast("bigint")
+
+
 # The conversions of STRFTIME that have the same meaning as a pattern of date_format
 _FORMATS = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss", "%j": "DDD"}
 
@@ -479,21 +558,77 @@ def _json_valid(a):
     return Value(F.when(a[0].col.isNotNull(), known.cast("bigint")), INT)
 
 
+_STEP = re.compile(r'\.(?:"([^"]*)"|([^.\["]+))|\[([0-9]+)\]|\[#(?:-([0-9]+))?\]')
+
+
+def _steps(path: str) -> list[str | int]:
+    """A path's names and places; a place from the end is negative, and the one after the last is None."""
+    found, at = [], 1
+    while path.startswith("$") and at < len(path):
+        m = _STEP.match(path, at)
+        if m is None:
+            break
+        name = m[1] if m[1] is not None else m[2]
+        found.append(name if name is not None else int(m[3]) if m[3] is not None else -int(m[4]) if m[4] else None)
+        at = m.end()
+    if not path.startswith("$") or at != len(path):
+        raise ValueError(f"bad JSON path: {path!r}")
+    return found
+
+
+def _at_path(source: Value, path: str) -> tuple[Column, Column]:
+    """The value under a path, with its type, and its text, of a JSON text; a malformed text is an error."""
+    whole = text(source)
+    parsed = F.try_parse_json(whole)
+    # the parser takes no repeated names, which are well-formed all the same
+    value = F.when(parsed.isNotNull() | whole.isNull() | F.get_json_object(whole, "$").isNotNull(), parsed).otherwise(F.raise_error(F.lit("malformed JSON")).cast("variant"))
+    own, plain = "$", True
+    for step in _steps(path):
+        if step is None or isinstance(step, int) and step < 0:
+            items = F.try_variant_get(value, own, "array<variant>")
+            value, own, plain = F.try_element_at(items, F.lit(step)) if step else F.lit(None).cast("variant"), "$", False
+        else:
+            mark = '"' if isinstance(step, str) and "'" in step else "'"  # a name has no double quote
+            own += f"[{step}]" if isinstance(step, int) else f"[{mark}{step}{mark}]"
+            plain = plain and mark == "'"
+    value = value if own == "$" else F.try_variant_get(value, own, "variant")
+    return value, F.coalesce(F.get_json_object(whole, own), F.to_json(value)) if plain else F.to_json(value)
+
+
 @function("JSON_EXTRACT", least=2, most=_MANY)
 def _json_extract(a):
-    """One literal path stays in built-in expressions; several paths give a JSON array."""
-    if len(a) == 2 and isinstance(a[1].literal, str):
-        found = F.get_json_object(text(a[0]), a[1].literal)
-        # true and false are 1 and 0 here
-        found = F.when(found == "true", "1").when(found == "false", "0").otherwise(found)
-        return Value(F.when(found != "null", found), TEXT, any_=True)
-    return _by_engine("json_extract", TEXT)(a)
+    """One literal path stays in built-in expressions; several paths give a JSON array. True and false are 1 and 0."""
+    if len(a) != 2 or not isinstance(a[1].literal, str):
+        return _by_engine("json_extract", TEXT)(a)
+    value, shown = _at_path(a[0], a[1].literal)
+    kind = F.schema_of_variant(value)
+    real = real_text(F.try_variant_get(value, "$", "double"))
+    broken = kind.rlike("^(DOUBLE|DECIMAL|BIGINT)") & shown.rlike("[.eE]")
+    found = (
+        F.when(kind == "VOID", None).when(kind == "BOOLEAN", F.when(F.try_variant_get(value, "$", "boolean"), "1").otherwise("0"))
+        .when(kind == "STRING", F.try_variant_get(value, "$", "string")).when(broken, real).otherwise(shown)
+    )
+    return Value(found, TEXT, any_=True)
+
+
+@function("JSON_TYPE", least=1, most=2)
+def _json_type(a):
+    if len(a) == 2 and not isinstance(a[1].literal, str):
+        return _by_engine("json_type", TEXT)(a)
+    value, shown = _at_path(a[0], a[1].literal if len(a) == 2 else "$")
+    kind = F.schema_of_variant(value)
+    named = F.when(kind == "VOID", "null").when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean").cast("string")).when(kind == "STRING", "text")
+    named = named.when(kind.startswith("ARRAY"), "array").when(kind.startswith("OBJECT"), "object")
+    return Value(named.when(shown.rlike("[.eE]"), "real").when(value.isNotNull(), "integer"), TEXT)
 
 
 @function("JSON_ARRAY_LENGTH", least=1, most=2)
 def _json_array_length(a):
-    own = text(a[0]) if len(a) == 1 else F.get_json_object(text(a[0]), a[1].literal if isinstance(a[1].literal, str) else "$")
-    return Value(F.when(own.isNotNull(), F.coalesce(F.json_array_length(own).cast("bigint"), F.lit(0).cast("bigint"))), INT)
+    if len(a) == 2 and not isinstance(a[1].literal, str):
+        return _by_engine("json_array_length", INT)(a)
+    value, _ = _at_path(a[0], a[1].literal if len(a) == 2 else "$")
+    n = F.size(F.try_variant_get(value, "$", "array<variant>"))
+    return Value(F.when(value.isNotNull(), F.when(F.schema_of_variant(value).startswith("ARRAY"), n).otherwise(0).cast("bigint")), INT)
 
 
 def json_text(value: object) -> str:

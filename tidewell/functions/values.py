@@ -174,7 +174,7 @@ def compare(op: str, a: Value, b: Value) -> Value:
 
 
 def arithmetic(op: str, left: Value, right: Value) -> Value:
-    """Whole numbers stay whole, also when divided; dividing by zero gives null."""
+    """Whole numbers stay whole, also when divided; dividing by zero gives null, and so does what outgrows 64 bits."""
     a, b = number(left), number(right)
     whole = a.kind == INT and b.kind == INT
     if op == "%":
@@ -184,11 +184,18 @@ def arithmetic(op: str, left: Value, right: Value) -> Value:
     if op == "/":
         if not whole:
             return Value(F.try_divide(a.col.cast("double"), b.col.cast("double")), REAL)
-        nonzero = F.when(b.col != 0, b.col)
-        return Value(F.call_function("div", a.col, nonzero), INT)
-    x, y = (a.col, b.col) if whole else (a.col.cast("double"), b.col.cast("double"))
-    result = {"+": lambda: x + y, "-": lambda: x - y, "*": lambda: x * y}[op]()
-    return Value(result, INT if whole else REAL)
+        # the least whole number has no counterpart, so dividing it by -1 goes by way of the difference
+        divisor = F.when((b.col != 0) & (b.col != -1), b.col)
+        return Value(F.when(b.col == -1, F.try_subtract(F.lit(0).cast("bigint"), a.col)).otherwise(F.call_function("div", a.col, divisor)), INT)
+    if whole:  # a result beyond 64 bits is null
+        return Value({"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply}[op](a.col, b.col), INT)
+    x, y = a.col.cast("double"), b.col.cast("double")
+    return Value({"+": lambda: x + y, "-": lambda: x - y, "*": lambda: x * y}[op](), REAL)
+
+
+def negative(v: Value) -> Value:
+    n = number(v)
+    return Value(F.try_subtract(F.lit(0).cast("bigint"), n.col) if n.kind == INT else -n.col, n.kind)
 
 
 def like(subject: Value, pattern: Value) -> Value:
@@ -206,9 +213,7 @@ def like(subject: Value, pattern: Value) -> Value:
 
 
 def glob(pattern: Value, subject: Value) -> Value:
-    """Case-sensitive; * and ? are wild and [...] is a set."""
-    if not isinstance(pattern.literal, str):
-        raise ValueError("GLOB takes a literal pattern")
+    """Case-sensitive; * and ? are wild and [...] is a set. The pattern is a literal."""
     rule, at, p = "", 0, pattern.literal
     while at < len(p):
         close = p.find("]", at + 2) if p[at] == "[" else -1

@@ -125,8 +125,7 @@ class Lowering:
         if isinstance(expr, Unary):
             if expr.op == "NOT":
                 return Value(~values.truth(self.value(expr.operand)), values.BOOL)
-            n = values.number(self.value(expr.operand))
-            return Value(-n.col, n.kind)
+            return values.negative(self.value(expr.operand))
         if isinstance(expr, Binary):
             if expr.op in ("AND", "OR"):
                 a, b = values.truth(self.value(expr.left)), values.truth(self.value(expr.right))
@@ -184,11 +183,15 @@ class Lowering:
         if name in ("MIN", "MAX"):
             return (F.min if name == "MIN" else F.max)(values.output(first)), INT if first.kind == values.BOOL else first.kind
         if name in ("GROUP_CONCAT", "STRING_AGG"):
-            between = args[1].literal if len(args) > 1 else ","
-            if not isinstance(between, str):
-                raise QueryError(f"{name}() takes a literal separator")
-            parts = F.array_sort(F.collect_list(values.text(first)))  # any order will do; sorted, it is the same each time
-            return F.when(F.size(parts) > 0, F.array_join(parts, between)), TEXT
+            # any order will do; sorted, it is the same each time
+            if len(args) == 1 or isinstance(args[1].literal, str):
+                parts = F.array_sort(F.collect_list(values.text(first)))
+                return F.when(F.size(parts) > 0, F.array_join(parts, args[1].literal if len(args) > 1 else ",")), TEXT
+            # each row's own separator stands before its text, but for the first
+            pair = F.struct(values.text(first).alias("t"), F.coalesce(values.text(args[1]), F.lit("")).alias("s"))
+            parts = F.array_sort(F.collect_list(F.when(first.col.isNotNull(), pair)))
+            joined = F.array_join(F.transform(parts, lambda p, k: F.when(k == 0, p["t"]).otherwise(F.concat(p["s"], p["t"]))), "")
+            return F.when(F.size(parts) > 0, joined), TEXT
         pieces = scalar.json_piece(first)
         if name == "JSON_GROUP_ARRAY":
             return F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list(pieces)), ","), F.lit("]")), TEXT

@@ -6,10 +6,13 @@ import sqlite3
 
 import pytest
 from fixtures import jsonl, write_all
+from pyspark.sql import functions as F
 
 from tidewell.cli import main
 from tidewell.engine import ATTACHED, FULL_SCAN, INDEXED, Engine, stream
 from tidewell.plans.dialect import QueryError
+from tidewell.sources.csvfile import left_out
+from tidewell.sources.textfiles import by_lines
 from tidewell.sources.uri import SourceSpec, parse_binding, parse_uri
 
 
@@ -172,6 +175,24 @@ def test_csv_ragged_header_only_and_empty(files, tmp_path):
     assert load(files, tmp_path, "none.csv", "", "SELECT COUNT(*) AS n FROM t") == []
 
 
+def test_one_odd_file_leaves_the_others_to_lines(files, tmp_path, capsys):
+    spark = files.spark
+    (tmp_path / "some.csv").mkdir()
+    (tmp_path / "some.csv" / "a b.csv").write_text('k,v\n1,"two\nlines"\n2\n3,"x"\n')
+    (tmp_path / "some.csv" / "c.csv").write_text("k,v\n4,y\n5,z,9\n6,\n")
+    plain, whole = by_lines(spark, str(tmp_path / "some.csv"), F.col("value").contains("two"))
+    assert [p.rsplit("/", 1)[1] for p in plain] == ["c.csv"] and [p.rsplit("/", 1)[1] for p in whole] == ["a b.csv"]
+    engine = Engine(spark).add_source("t", str(tmp_path / "some.csv"))
+    assert rows(engine, "SELECT k, v FROM t ORDER BY k") == [{"k": 1, "v": "two\nlines"}, {"k": 3, "v": "x"}, {"k": 4, "v": "y"}, {"k": 6, "v": ""}]
+    assert "2 rows" in capsys.readouterr().err
+    assert sorted(r[0] for r in left_out(spark, str(tmp_path / "some.csv")).collect()) == ["2", "5,z,9"]
+    assert rows(engine, "SELECT COUNT(*) AS n FROM t") == [{"n": 4}]
+    (tmp_path / "some.jsonl").mkdir()
+    (tmp_path / "some.jsonl" / "a.jsonl").write_text('{"k": 1}\n{"k":\n2} x {"k": 3}\n')
+    (tmp_path / "some.jsonl" / "b.jsonl").write_text('{"k": 4, "w": true}\n\n{"k": 5}\n')
+    assert [r["k"] for r in rows(Engine(spark).add_source("t", str(tmp_path / "some.jsonl")), "SELECT k, w FROM t ORDER BY k")] == [1, 2, 4, 5]
+
+
 def test_json_shapes(files, tmp_path):
     one = '{"pier":"east","depth":{"low":2,"open":false,"b":"<&>"}}\n'
     assert load(files, tmp_path, "nested.jsonl", one) == [{"pier": "east", "depth": '{"b":"\\u003c\\u0026\\u003e","low":2,"open":false}'}]

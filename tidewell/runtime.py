@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -31,12 +32,21 @@ _MADE: list[str] = []
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path of its own below the shared folder. It stays, as lazy results may read it, until ``drop_scratch``."""
+    """A new path of its own below the shared folder. It stays, as lazy results may read it, until ``drop_scratch`` or the end of the process."""
+    if not _MADE:
+        atexit.register(_at_exit, spark)
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     _MADE.append(path)
     return path
 
 
+def _at_exit(spark: SparkSession) -> None:
+    try:
+        drop_scratch(spark)
+    except Exception:  # noqa: BLE001 - the session is over, so nothing can be reached any more
+        pass
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete all that this process wrote to the shared folder; call it once the results have been used."""
     while _MADE:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewell.functions.scalar import json_text
+from tidewell.sources.textfiles import by_lines
 
 _VALUE = "value"
 
@@ -86,15 +87,16 @@ def _objects(texts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def load_json(spark: SparkSession, path: str) -> DataFrame:
     """The union of all keys is the schema: numbers DOUBLE, truth values BIGINT, texts STRING, containers as JSON text.
 
-    Where every line holds one object, as in JSON lines, lines are parsed in parallel. Otherwise each
+    In files where every line holds one object, as in JSON lines, lines are parsed in parallel. Any other
     file is taken as a sequence of objects, of any layout, up to its first error. An array or a scalar at
     the top is such an error. An empty file gives no columns and no rows.
     """
-    lines = spark.read.text(path).where(F.trim(_VALUE) != "")
+    filled = F.trim(_VALUE) != ""
     # an object that fills its line is valid JSON text and begins with a brace
-    odd = lines.where(~(F.trim(_VALUE).startswith("{") & F.try_parse_json(_VALUE).isNotNull())).limit(1)
-    if not odd.isEmpty():
-        lines = spark.read.text(path, wholetext=True).mapInPandas(_objects, f"{_VALUE} string")
+    parts, whole = by_lines(spark, path, filled & ~(F.trim(_VALUE).startswith("{") & F.try_parse_json(_VALUE).isNotNull()))
+    frames = [spark.read.text(parts).where(filled)] if parts else []
+    frames += [spark.read.text(whole, wholetext=True).mapInPandas(_objects, f"{_VALUE} string")] if whole else []
+    lines = frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
     inferred = infer(spark, lines)
     if not inferred.fields:
         return spark.createDataFrame([], "struct<>")

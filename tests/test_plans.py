@@ -46,3 +46,14 @@ def test_expressions_are_computed_for_every_order(spark, name):
     with duckdb.connect() as db:
         db.execute(f"CREATE VIEW orders AS SELECT * FROM '{orders}'")
         assert got == sorted(db.execute(SQL[name]).fetchall())
+
+
+@pytest.mark.parametrize("name", ["every_ticks", "tumbling_count", "tumbling_weeks", "tumbling_join_static", "per_record_snapshots"])
+def test_windowed_aggregates_run_on_from_tick_to_tick(spark, name):
+    text = plan(spark, name)
+    assert "__at" not in text and "_first" in text and "Window" in text  # records are joined with no snapshot
+    assert re.search(r"partial_(count|sum|max)", text)
+
+
+def test_other_windowed_queries_are_answered_by_snapshot(spark):
+    assert "__at" in plan(spark, "stream_distinct") and "__at" in plan(spark, "stream_stream")

@@ -117,6 +117,14 @@ PREFIX = [
     "SELECT t.name, a.v FROM t LEFT JOIN a ON a.k = t.k",
     "SELECT t.name, a.v FROM a RIGHT JOIN t ON a.k = t.k",
     "SELECT a.v FROM a ORDER BY a.v LIMIT 1",
+    "SELECT k % 2 AS odd, AVG(v) AS m, MIN(v) AS lo, TOTAL(k) AS t, COUNT(v) AS c FROM a GROUP BY odd ORDER BY odd",
+    "SELECT COUNT(*) AS n, SUM(v) AS s, AVG(k) AS m FROM a WHERE v > 100",
+    "SELECT t.name, COUNT(*) AS n, MAX(a.v) AS m FROM a LEFT JOIN t ON a.k = t.k GROUP BY t.name",
+    "SELECT t.name, COUNT(a.v) AS n FROM t LEFT JOIN a ON a.k = t.k GROUP BY t.name",
+    "SELECT a.k, GROUP_CONCAT(a.v) AS g FROM a GROUP BY a.k",
+    "SELECT a.k, a.v, MAX(a.v) AS m FROM a GROUP BY a.k",
+    "SELECT a.k FROM a GROUP BY a.k",
+    "SELECT a.k, SUM(b.v) AS s FROM a JOIN b ON a.k = b.k GROUP BY a.k",
 ]
 
 

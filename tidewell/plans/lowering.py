@@ -19,13 +19,21 @@ from tidewell.plans.dialect import Binary, Call, Expr, Item, Literal, Name, Quer
 
 #: The hidden column of a snapshot's number.
 SNAPSHOT = "__snapshot"
+#: The hidden columns of a stream whose aggregates run on from snapshot to snapshot: a record's window, and the first snapshot that has it.
+WIN, MARK = "__win", "__mark"
+# Aggregates whose states can be merged
+ALGEBRAIC = frozenset("COUNT SUM AVG MIN MAX TOTAL".split())
+
+
+class NotAlgebraic(Exception):
+    """The query can't be answered by running on merged states."""
 # Functions that fold a group
 AGGREGATES = frozenset("COUNT SUM AVG MIN MAX TOTAL GROUP_CONCAT STRING_AGG JSON_GROUP_ARRAY JSON_GROUP_OBJECT".split())
 
 
 @dataclass
 class Relation:
-    """A table as the lowering sees it. A ``stream`` has a column ``SNAPSHOT``."""
+    """A table as the lowering sees it. A ``stream`` has a column ``SNAPSHOT``, or the columns ``WIN`` and ``MARK`` if states run on."""
 
     frame: DataFrame
     stream: bool = False
@@ -58,8 +66,8 @@ def walk(expr: Expr):
 
 
 class Lowering:
-    def __init__(self, spark: SparkSession, statement: Select, relations: dict[str, Relation], snapshots: DataFrame | None = None):
-        self.spark, self.statement, self.relations, self.snapshots = spark, statement, relations, snapshots
+    def __init__(self, spark: SparkSession, statement: Select, relations: dict[str, Relation], snapshots: DataFrame | None = None, running: bool = False):
+        self.spark, self.statement, self.relations, self.snapshots, self.running = spark, statement, relations, snapshots, running
         self.sources: list[Source] = []
         self.types: dict[str, T.DataType] = {}
         self.replaced: dict[Expr, Value] = {}
@@ -208,7 +216,7 @@ class Lowering:
         source = Source(table.alias)
         columns = []
         for j, column in enumerate(relation.frame.schema.fields):
-            if column.name == SNAPSHOT:
+            if column.name in (SNAPSHOT, WIN, MARK):
                 continue
             inner = f"_{k}_{j}"
             source.columns.append((column.name, inner, column.dataType))
@@ -216,7 +224,7 @@ class Lowering:
             columns.append(relation.frame[f"`{column.name.replace('`', '``')}`"].alias(inner))
         self.sources.append(source)
         if relation.stream:
-            columns.append(F.col(SNAPSHOT).alias(f"_k{k}"))
+            columns += [F.col(WIN), F.col(MARK)] if self.running else [F.col(SNAPSHOT).alias(f"_k{k}")]
         return relation.frame.select(*columns), relation.stream
 
     def joined(self) -> DataFrame:
@@ -224,6 +232,14 @@ class Lowering:
         if statement.table is None:
             return self.spark.range(1).select()
         frame, stream = self.opened(0, statement.table)
+        if self.running:
+            # each record's rows are its own only if the stream comes first and no static row waits for a record
+            if not stream or any(j.kind == "right" or self.relation(j.table.name).stream for j in statement.joins):
+                raise NotAlgebraic
+            for k, join in enumerate(statement.joins, 1):
+                right, _ = self.opened(k, join.table)
+                frame = frame.join(right, values.truth(self.value(self.bind(join.on, {}))), join.kind)
+            return frame
         if self.snapshots is not None:
             # a static table read first is there in every snapshot; there is one row for each snapshot of the batch
             frame = frame.withColumnRenamed("_k0", SNAPSHOT) if stream else frame.crossJoin(F.broadcast(self.snapshots.select(SNAPSHOT)))
@@ -281,6 +297,8 @@ class Lowering:
         calls = list(dict.fromkeys(e for root in wanted for e in walk(root) if is_aggregate(e)))
         if calls or group:
             frame = self.grouped(frame, group, calls, wanted)
+        elif self.running:
+            raise NotAlgebraic
         return self.finished(frame, bound, labels, order)
 
     def grouped(self, frame: DataFrame, group: list[Expr], calls: list[Call], wanted: list[Expr]) -> DataFrame:
@@ -302,6 +320,8 @@ class Lowering:
 
         for root in wanted:
             seek(root)
+        if self.running and (bare or any(c.name not in ALGEBRAIC for c in calls)):
+            raise NotAlgebraic
         # columns that are neither grouped nor folded come from the row of a lone extreme, else from any row
         extremes = [c for c in calls if c.name in ("MIN", "MAX")]
         lone = extremes[0] if len(extremes) == 1 else None
@@ -314,7 +334,7 @@ class Lowering:
         hidden = [F.col(SNAPSHOT)] if self.snapshots is not None else []
         by = [*hidden, *(values.output(v).alias(f"_g{k}") for k, v in enumerate(keys))]
         named = [f.alias(f"_a{k}") for k, f in enumerate(folds)] or [F.count(F.lit(1)).alias("_a0")]
-        result = frame.groupBy(*by).agg(*named)
+        result = self.run_on(frame, keys, calls) if self.running else frame.groupBy(*by).agg(*named)
         if self.snapshots is not None and not group:  # a snapshot without rows has a row of its own
             result = self.snapshots.select(SNAPSHOT).join(result, SNAPSHOT, "left")
         for k, (expr, v) in enumerate(zip(group, keys, strict=True)):
@@ -331,6 +351,35 @@ class Lowering:
             self.replaced[b] = values.stored(F.col(f"_a{len(calls) + k}"), self.types[b.inner])
         return result
 
+    def run_on(self, frame: DataFrame, keys: list[Value], calls: list[Call]) -> DataFrame:
+        """The folds of each group at every snapshot from its first one on.
+
+        Records are folded to one state for each window, snapshot and group; states are then merged along the snapshots
+        of a window. The work is the records plus the answer, not records times snapshots.
+        """
+        states, merged = [F.count(F.lit(1)).alias("_n")], []
+        over = Window.partitionBy(WIN, *(f"_g{k}" for k in range(len(keys)))).orderBy(MARK).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        for k, call in enumerate(calls):
+            args = [self.value(a) for a in call.args if not isinstance(a, Star)]
+            column, _ = self.aggregate(call)
+            own = F.col(f"_a{k}")
+            if call.name == "AVG":
+                states += [F.sum(values.double(args[0])).alias(f"_a{k}"), F.count(values.double(args[0])).alias(f"_b{k}")]
+                merged.append(F.try_divide(F.sum(own).over(over), F.sum(f"_b{k}").over(over)).alias(f"_a{k}"))
+                continue
+            states.append((F.sum(values.double(args[0])) if call.name == "TOTAL" else column).alias(f"_a{k}"))
+            merge = {"MIN": F.min, "MAX": F.max}.get(call.name, F.sum)
+            merged.append(merge(own).over(over).alias(f"_a{k}"))
+        groups = [f"_g{k}" for k in range(len(keys))]
+        partial = frame.groupBy(WIN, MARK, *(values.output(v).alias(g) for v, g in zip(keys, groups, strict=True))).agg(*states)
+        first = partial.groupBy(WIN, *groups).agg(F.min(MARK).alias("_first"))
+        marks = self.snapshots.select(F.col("win").alias("_w"), F.col("at").alias(MARK), F.lit(True).alias("_due"))
+        due = first.join(marks, (F.col(WIN) == F.col("_w")) & (F.col(MARK) >= F.col("_first"))).drop("_w", "_first")
+        rows = due.unionByName(partial.withColumn("_due", F.lit(False)), allowMissingColumns=True)
+        # a state and what is due at its snapshot are peers in the order, so either sees both
+        ran = rows.select("_due", F.col(MARK).alias(SNAPSHOT), *groups, *(merged or [F.col("_n").alias("_a0")]))
+        return ran.where("_due").drop("_due")
+
     def finished(self, frame: DataFrame, bound: list[Expr], labels: list[str], order: list[tuple[Expr, bool]]) -> DataFrame:
         """Projection, DISTINCT, ORDER BY and LIMIT. Of columns with one name the last one stays."""
         statement, windowed = self.statement, self.snapshots is not None
@@ -360,5 +409,5 @@ class Lowering:
         return frame.select(*hidden, *(F.col(f"_c{k}").alias(labels[k]) for k in kept))
 
 
-def lower(spark: SparkSession, statement: Select, relations: dict[str, Relation], snapshots: DataFrame | None = None) -> DataFrame:
-    return Lowering(spark, statement, relations, snapshots).lower()
+def lower(spark: SparkSession, statement: Select, relations: dict[str, Relation], snapshots: DataFrame | None = None, running: bool = False) -> DataFrame:
+    return Lowering(spark, statement, relations, snapshots, running).lower()

@@ -9,12 +9,14 @@ lowering carries the tag through joins, grouping, DISTINCT and LIMIT.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewell.plans.dialect import Select
-from tidewell.plans.lowering import SNAPSHOT, Relation, lower
+from tidewell.plans.lowering import MARK, SNAPSHOT, WIN, NotAlgebraic, Relation, lower
 from tidewell.sources.jsonfile import read_objects
 
 #: Microseconds from year 1, in which windows are counted, to 1970.
@@ -44,13 +46,18 @@ def snapshots_of(marks: DataFrame, first_seen: DataFrame, streams: list[str]) ->
 
 
 def answer(
-    spark: SparkSession, statement: Select, streams: dict[str, DataFrame], statics: dict[str, DataFrame], marks: DataFrame
+    spark: SparkSession, statement: Select, streams: dict[str, DataFrame], statics: dict[str, DataFrame], marks: DataFrame,
+    first_mark: Callable[[Column], Column] | None = None, same_window: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """The query's rows for each snapshot, under the hidden column ``SNAPSHOT``, in order of snapshots.
 
     Streams have the columns ``win`` and ``at`` (window and position) beside their own; ``marks`` has ``win``,
-    ``at`` and ``SNAPSHOT``. The work is the sum of the sizes of all snapshots, as the contract has it that each is
-    printed whole; with EVERY it is ticks times records of a window.
+    ``at`` and ``SNAPSHOT``, which equals ``at``. ``first_mark`` gives the position of the first snapshot that has a record, and
+    ``same_window`` the window of that position, if it may lie beyond the record's.
+
+    With ``first_mark``, aggregates of one stream with mergeable states run on from snapshot to snapshot, so the work is the records
+    plus the answer. Otherwise it is the sum of the sizes of all snapshots, as the contract has it that each is
+    printed whole; with EVERY that is ticks times records of a window.
     """
     used = {t.name.lower() for t in statement.tables()}
     named = [n for n in streams if n.lower() in used]
@@ -60,6 +67,13 @@ def answer(
         seen = first if seen is None else seen.unionByName(first)
     snapshots = snapshots_of(marks, seen, named) if named else marks
     relations = {n: Relation(f) for n, f in statics.items() if n.lower() in used}
+    if first_mark is not None and len(named) == 1:
+        rows = streams[named[0]].withColumn(MARK, first_mark(F.col("at"))).withColumnRenamed("win", WIN).drop("at")
+        rows = rows.where(same_window(F.col(MARK)) == F.col(WIN)) if same_window else rows
+        try:
+            return lower(spark, statement, relations | {named[0]: Relation(rows, stream=True)}, snapshots, running=True)
+        except NotAlgebraic:
+            pass
     own = snapshots.select(SNAPSHOT, F.col("win").alias("__win"), F.col("at").alias("__at"))
     for name in named:
         rows = streams[name]
@@ -103,6 +117,7 @@ def replay(
         n: f.withColumn("win", window_column(F.col(arrival_us), width)).withColumn("at", F.col(place)).drop(arrival_us, *([seq] if seq != arrival_us else []))
         for n, f in streams.items()
     }
+    first_mark, same_window = (lambda at: at), None
     if statement.every_us is None:
         marks = None
         for f in marked.values():
@@ -113,5 +128,14 @@ def replay(
             spans = [f.agg(F.min(arrival_us), F.max(arrival_us)).first() for f in streams.values()]
             first_us = min((s[0] for s in spans if s[0] is not None), default=0)
             last_us = max((s[1] for s in spans if s[1] is not None), default=0)
-        marks = ticks(spark, first_us, last_us, statement.every_us, width)
-    return answer(spark, statement, marked, statics, marks)
+        every = statement.every_us
+        marks = ticks(spark, first_us, last_us, every, width)
+
+        def first_mark(at: Column) -> Column:
+            steps = F.greatest(F.call_function("div", at - F.lit(first_us - every + 1), F.lit(every)), F.lit(1).cast("bigint"))
+            return F.least(F.lit(first_us) + steps * F.lit(every), F.lit(last_us).cast("bigint"))
+
+        def same_window(mark: Column) -> Column:
+            return window_column(mark, width)
+
+    return answer(spark, statement, marked, statics, marks, first_mark, same_window)

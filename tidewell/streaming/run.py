@@ -85,7 +85,7 @@ class Window:
         marks = stored.where(due).select("win", F.col("seq").alias("at"), F.col("seq").alias(SNAPSHOT))
         buffer = self.spark.read.schema(rows.schema).parquet(*map(self._folder, sorted(self.newest)))
         frames = stream_frames(buffer, {n: (self.inferred[n], self.flat[n]) for n in self.streams})
-        return answer(self.spark, self.statement, frames, self.statics, marks)
+        return answer(self.spark, self.statement, frames, self.statics, marks, first_mark=lambda at: at)
 
     def _forget(self, oldest: int) -> None:
         for batch in [b for b, newest in self.newest.items() if newest < oldest]:

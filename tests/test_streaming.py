@@ -124,6 +124,8 @@ PREFIX = [
     "SELECT a.k, GROUP_CONCAT(a.v) AS g FROM a GROUP BY a.k",
     "SELECT a.k, a.v, MAX(a.v) AS m FROM a GROUP BY a.k",
     "SELECT a.k FROM a GROUP BY a.k",
+    "SELECT x.v, y.v AS w FROM a x JOIN a y ON x.k = y.k AND x.v < y.v",
+    "SELECT a.v, b.v AS w, t.name FROM a JOIN b ON a.k = b.k LEFT JOIN t ON t.k = b.k WHERE a.v + b.v > 12",
     "SELECT a.k, SUM(b.v) AS s FROM a JOIN b ON a.k = b.k GROUP BY a.k",
 ]
 

@@ -25,8 +25,8 @@ WIN, MARK = "__win", "__mark"
 ALGEBRAIC = frozenset("COUNT SUM AVG MIN MAX TOTAL".split())
 
 
-class NotAlgebraic(Exception):
-    """The query can't be answered by running on merged states."""
+class NotByRecord(Exception):
+    """The joined rows can't be had once for all snapshots, as some of them wait for records or go when one comes."""
 # Functions that fold a group
 AGGREGATES = frozenset("COUNT SUM AVG MIN MAX TOTAL GROUP_CONCAT STRING_AGG JSON_GROUP_ARRAY JSON_GROUP_OBJECT".split())
 
@@ -224,7 +224,7 @@ class Lowering:
             columns.append(relation.frame[f"`{column.name.replace('`', '``')}`"].alias(inner))
         self.sources.append(source)
         if relation.stream:
-            columns += [F.col(WIN), F.col(MARK)] if self.running else [F.col(SNAPSHOT).alias(f"_k{k}")]
+            columns += [F.col(WIN).alias(f"_win{k}"), F.col(MARK).alias(f"_mark{k}")] if self.running else [F.col(SNAPSHOT).alias(f"_k{k}")]
         return relation.frame.select(*columns), relation.stream
 
     def joined(self) -> DataFrame:
@@ -233,12 +233,17 @@ class Lowering:
             return self.spark.range(1).select()
         frame, stream = self.opened(0, statement.table)
         if self.running:
-            # each record's rows are its own only if the stream comes first and no static row waits for a record
-            if not stream or any(j.kind == "right" or self.relation(j.table.name).stream for j in statement.joins):
-                raise NotAlgebraic
+            # a row of streams is there from the last of its records on, unless it is kept by an outer join until one comes
+            if not stream or any(j.kind == "right" or j.kind != "inner" and self.relation(j.table.name).stream for j in statement.joins):
+                raise NotByRecord
+            frame = frame.withColumnsRenamed({"_win0": WIN, "_mark0": MARK})
             for k, join in enumerate(statement.joins, 1):
-                right, _ = self.opened(k, join.table)
-                frame = frame.join(right, values.truth(self.value(self.bind(join.on, {}))), join.kind)
+                right, stream = self.opened(k, join.table)
+                on = values.truth(self.value(self.bind(join.on, {})))
+                if not stream:
+                    frame = frame.join(right, on, join.kind)
+                    continue
+                frame = frame.join(right, on & (F.col(WIN) == F.col(f"_win{k}"))).withColumn(MARK, F.greatest(MARK, f"_mark{k}"))
             return frame
         if self.snapshots is not None:
             # a static table read first is there in every snapshot; there is one row for each snapshot of the batch
@@ -298,7 +303,7 @@ class Lowering:
         if calls or group:
             frame = self.grouped(frame, group, calls, wanted)
         elif self.running:
-            raise NotAlgebraic
+            frame = self.shown(frame)
         return self.finished(frame, bound, labels, order)
 
     def grouped(self, frame: DataFrame, group: list[Expr], calls: list[Call], wanted: list[Expr]) -> DataFrame:
@@ -321,7 +326,7 @@ class Lowering:
         for root in wanted:
             seek(root)
         if self.running and (bare or any(c.name not in ALGEBRAIC for c in calls)):
-            raise NotAlgebraic
+            frame = self.shown(frame)
         # columns that are neither grouped nor folded come from the row of a lone extreme, else from any row
         extremes = [c for c in calls if c.name in ("MIN", "MAX")]
         lone = extremes[0] if len(extremes) == 1 else None
@@ -351,6 +356,12 @@ class Lowering:
             self.replaced[b] = values.stored(F.col(f"_a{len(calls) + k}"), self.types[b.inner])
         return result
 
+    def shown(self, frame: DataFrame) -> DataFrame:
+        """The joined and filtered rows at every snapshot that has them; from here on each snapshot is by itself."""
+        self.running = False
+        marks = self.snapshots.select(F.col("win").alias("_w"), F.col("at").alias("_at"), SNAPSHOT)
+        return frame.join(marks, (F.col(WIN) == F.col("_w")) & (F.col("_at") >= F.col(MARK)))
+
     def run_on(self, frame: DataFrame, keys: list[Value], calls: list[Call]) -> DataFrame:
         """The folds of each group at every snapshot from its first one on.
 

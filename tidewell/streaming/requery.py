@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewell.plans.dialect import Select
-from tidewell.plans.lowering import MARK, SNAPSHOT, WIN, NotAlgebraic, Relation, lower
+from tidewell.plans.lowering import MARK, SNAPSHOT, WIN, NotByRecord, Relation, lower
 from tidewell.sources.jsonfile import read_objects
 
 #: Microseconds from year 1, in which windows are counted, to 1970.
@@ -55,9 +55,9 @@ def answer(
     ``at`` and ``SNAPSHOT``, which equals ``at``. ``first_mark`` gives the position of the first snapshot that has a record, and
     ``same_window`` the window of that position, if it may lie beyond the record's.
 
-    With ``first_mark``, aggregates of one stream with mergeable states run on from snapshot to snapshot, so the work is the records
-    plus the answer. Otherwise it is the sum of the sizes of all snapshots, as the contract has it that each is
-    printed whole; with EVERY that is ticks times records of a window.
+    With ``first_mark``, joins and filters are done once for all snapshots, and aggregates with mergeable states run on from
+    snapshot to snapshot, so the work is the records plus the answer. Otherwise (outer joins that wait for a record) each
+    stream is spread over the snapshots first, which with EVERY is ticks times records of a window.
     """
     used = {t.name.lower() for t in statement.tables()}
     named = [n for n in streams if n.lower() in used]
@@ -67,12 +67,14 @@ def answer(
         seen = first if seen is None else seen.unionByName(first)
     snapshots = snapshots_of(marks, seen, named) if named else marks
     relations = {n: Relation(f) for n, f in statics.items() if n.lower() in used}
-    if first_mark is not None and len(named) == 1:
-        rows = streams[named[0]].withColumn(MARK, first_mark(F.col("at"))).withColumnRenamed("win", WIN).drop("at")
-        rows = rows.where(same_window(F.col(MARK)) == F.col(WIN)) if same_window else rows
+    if first_mark is not None and named:
+        marked = {}
+        for name in named:
+            rows = streams[name].withColumn(MARK, first_mark(F.col("at"))).withColumnRenamed("win", WIN).drop("at")
+            marked[name] = Relation(rows.where(same_window(F.col(MARK)) == F.col(WIN)) if same_window else rows, stream=True)
         try:
-            return lower(spark, statement, relations | {named[0]: Relation(rows, stream=True)}, snapshots, running=True)
-        except NotAlgebraic:
+            return lower(spark, statement, relations | marked, snapshots, running=True)
+        except NotByRecord:
             pass
     own = snapshots.select(SNAPSHOT, F.col("win").alias("__win"), F.col("at").alias("__at"))
     for name in named:

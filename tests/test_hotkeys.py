@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from tidewell.operators.hotkeys import dominating_keys, per_key_totals
+from tidewell.runtime import inexact_keys
 
 
 def test_dominating_keys(spark):
@@ -17,3 +18,16 @@ def test_totals_and_plan(spark):
     assert sorted(map(tuple, totals.collect()), key=repr) == sorted([("a", 1, 2, 2.0), ("a", None, 1, 1.0), ("b", 1, 1, 5.0)], key=repr)
     plan = totals._jdf.queryExecution().executedPlan().toString()
     assert plan.index("partial_count") > plan.index("Exchange")  # states are made before the shuffle
+
+
+def test_one_aggregate_serves_counts_and_totals(spark):
+    rows = spark.range(1000).selectExpr("'a' AS part", "id % 3 AS key")
+    found = dominating_keys(rows, "part", "key", 0.3).select("part", "key")
+    assert found.count() == 3
+    found.collect()
+    assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_keys_that_are_no_whole_numbers_are_counted(spark):
+    rows = spark.createDataFrame([("a", 1.0, 2.5), ("a", None, 2.0**60), ("b", 0.5, None)], "part string, k double, m double")
+    assert sorted(map(tuple, inexact_keys(rows, "part", ["k", "m"]).collect())) == [("a", "k", 2, 0), ("a", "m", 2, 2), ("b", "k", 1, 1), ("b", "m", 1, 0)]

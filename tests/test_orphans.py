@@ -65,3 +65,18 @@ def test_edges(spark):
     assert [r["cause"] for r in orphan_references(*build(spark, life, [(1, float("nan"), 15, "p", 0)])).collect()] == ["missing"]
     assert orphan_references(*build(spark, life, [])).count() == 0
     assert [r["period"] for r in orphan_references(*build(spark, [], [(1, 1.0, -1, "p", 0)])).collect()] == ["1969-12-29"]
+
+
+def test_two_fields_in_one_scan_and_rows_without_time(spark):
+    p = spark.createDataFrame([(1.0, 1, 0, None), (2.0, 1, 50, None)], "id double, version bigint, created bigint, deleted bigint")
+    # the rows have columns named like the operator's own
+    c = spark.createDataFrame([(1, 1.0, 9.0, 10), (2, 2.0, 1.0, 10), (3, 8.0, 8.0, None), (4, None, None, 10)], "record bigint, key double, parent double, t bigint")
+    parents = [Parent(n, p, F.col("id"), F.col("version"), F.col("created"), F.col("deleted")) for n in "pq"]
+    record, time = F.col("record"), F.col("t")
+    for timed, more in ((True, set()), (False, {("a", 3, "missing"), ("b", 3, "missing")})):
+        refs = [Reference("p", "c", "a", c, F.col("key"), record, time, timed), Reference("q", "c", "b", c, F.col("parent"), record, time, timed)]
+        for limit in (0, 1, 100):
+            got = {(r["ref_field"], r["record_id"], r["cause"]) for r in orphan_references(parents, refs, broadcast_keys=limit).collect()}
+            assert got == {("b", 1, "missing"), ("a", 2, "not_yet_created")} | more
+    plan = orphan_references(parents, refs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ExistingRDD") == 1  # the children are read once for both fields

@@ -473,20 +473,30 @@ def _timediff(a):
     read = [_instant(Value(F.lit(v.literal), TEXT) if v.literal is not None else v) for v in a]
     if any(t is None for t in read):
         return _by_engine("timediff", TEXT)(a)
-    one, two = read
-    up = one >= two
-    between = (F.year(one) - F.year(two)) * 12 + F.month(one) - F.month(two)
-    moved = _months_on(two, between)
-    short = F.when(up, moved > one).otherwise(moved < one)
-    months = F.when(short, between - F.when(up, 1).otherwise(-1)).otherwise(between)
-    rest = one - _months_on(two, months)
-    ms = F.abs(_span_ms(rest))
-    whole = F.abs(months)
-    shown = F.format_string(
-        "%s%04d-%02d-%02d %02d:%02d:%02d.%03d", F.when(up, "+").otherwise("-"), F.floor(whole / 12).cast("int"), (whole % 12).cast("int"), F.floor(ms / 86_400_000).cast("int"),
-        F.floor(ms / 3_600_000 % 24).cast("int"), F.floor(ms / 60_000 % 60).cast("int"), F.floor(ms / 1000 % 60).cast("int"), (ms % 1000).cast("int"),
-    )
-    return Value(F.when(one.isNotNull() & two.isNotNull(), shown), TEXT)
+    def steps(v: Column) -> Column:
+        one, two = v["one"], v["two"]
+        between = (F.year(one) - F.year(two)) * 12 + F.month(one) - F.month(two)
+        return F.struct(one.alias("one"), two.alias("two"), (one >= two).alias("up"), between.alias("between"))
+
+    def months(v: Column) -> Column:
+        moved = _months_on(v["two"], v["between"])
+        short = F.when(v["up"], moved > v["one"]).otherwise(moved < v["one"])
+        whole = v["between"] - F.when(short, F.when(v["up"], 1).otherwise(-1)).otherwise(0)
+        return F.struct(v["one"].alias("one"), v["two"].alias("two"), v["up"].alias("up"), whole.alias("whole"))
+
+    def rest(v: Column) -> Column:
+        return F.struct(v["up"].alias("up"), F.abs(v["whole"]).alias("whole"), (v["one"] - _months_on(v["two"], v["whole"])).alias("rest"))
+
+    def shown(v: Column) -> Column:
+        ms, whole = F.abs(_span_ms(v["rest"])), v["whole"]
+        parts = [whole / 12, whole % 12, ms / 86_400_000, ms / 3_600_000 % 24, ms / 60_000 % 60, ms / 1000 % 60, ms % 1000]
+        return F.format_string("%s%04d-%02d-%02d %02d:%02d:%02d.%03d", F.when(v["up"], "+").otherwise("-"), *(F.floor(x).cast("int") for x in parts))
+
+    # each step is bound to a variable, since written out they would repeat one another many times
+    bound = F.array(F.struct(read[0].alias("one"), read[1].alias("two")))
+    for step in (steps, months, rest, shown):
+        bound = F.transform(bound, step)
+    return Value(F.when(read[0].isNotNull() & read[1].isNotNull(), F.element_at(bound, 1)), TEXT)
 
 
 def _span_ms(span: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewell.cli import main
 from tidewell.engine import ATTACHED, FULL_SCAN, INDEXED, Engine, stream
-from tidewell.plans.dialect import QueryError
+from tidewell.plans.dialect import QueryError, parse_one
 from tidewell.sources.csvfile import left_out
 from tidewell.sources.textfiles import by_lines
 from tidewell.sources.uri import SourceSpec, parse_binding, parse_uri
@@ -142,6 +142,16 @@ def test_sqlite_large_empty_and_wide_ids(files, database):
         with_table(files, database, "nothing").sql("SELECT * FROM nothing").collect()
 
 
+def test_sqlite_reads_only_the_columns_that_are_used(files, database):
+    engine = with_table(files, database, "piers")
+    for query, columns in (("SELECT SIDE FROM piers p WHERE p.depth > 5", ["side", "depth"]), ("SELECT COUNT(*) AS n FROM piers", ["pier"]), ("SELECT * FROM piers", ["pier", "side", "depth"])):
+        assert engine._used("piers", parse_one(query)).columns == columns
+    assert rows(engine, "SELECT SIDE FROM piers p WHERE p.depth > 5 ORDER BY side") == [{"SIDE": "North"}, {"SIDE": "West"}]
+    assert rows(engine, "SELECT COUNT(*) AS n FROM piers") == [{"n": 4}]
+    with pytest.raises(QueryError, match="no such column"):
+        engine.sql("SELECT nope FROM piers")
+
+
 def test_access_paths(files, database):
     engine = with_table(files, database, "flags").add_source("s", "stdin")
     assert engine.explain_access("SELECT * FROM s JOIN flags ON s.a = flags.sign OVER 1m") == {"flags": ATTACHED}

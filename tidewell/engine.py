@@ -7,8 +7,8 @@ from typing import TextIO
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.plans.dialect import Binary, Name, QueryError, Select, parse_one
-from tidewell.plans.lowering import Relation, lower
+from tidewell.plans.dialect import Binary, Name, QueryError, Select, Star, parse_one
+from tidewell.plans.lowering import Relation, lower, walk
 from tidewell.sink import write_lines
 from tidewell.sources.csvfile import load_csv
 from tidewell.sources.jsonfile import load_json
@@ -87,7 +87,7 @@ class Engine:
 
     def run(self, statement: Select) -> DataFrame:
         names = self._named(statement)
-        relations = {n: Relation(self.frame(n)) for n in names}
+        relations = {n: Relation(self._used(n, statement)) for n in names}
         absent = self.empty_source_is_absent and any(
             self.specs[n].format in ("csv", "json", STDIN) and (not relations[n].frame.columns or relations[n].frame.isEmpty()) for n in names if n in self.specs
         )
@@ -95,6 +95,15 @@ class Engine:
             return self._nothing(statement, relations)
         return lower(self.spark, statement, relations)
 
+    def _used(self, name: str, statement: Select) -> DataFrame:
+        """A source with the columns that the statement can mean; the others of a SQLite table aren't even read."""
+        spec = self.specs.get(name)
+        if spec is None or spec.format != SQLITE or any(isinstance(i.expr, Star) for i in statement.items):
+            return self.frame(name)
+        roots = [*(i.expr for i in statement.items), *(j.on for j in statement.joins), *statement.group, *(e for e, _ in statement.order)]
+        roots += [statement.where] if statement.where is not None else []
+        return load_sqlite(self.spark, spec.path, spec.table, {e.column.lower() for r in roots for e in walk(r) if isinstance(e, Name)})
+
     def _nothing(self, statement: Select, relations: dict[str, Relation]) -> DataFrame:
         try:
             return lower(self.spark, statement, relations).limit(0)

@@ -247,11 +247,11 @@ class Lowering:
             return frame
         if self.snapshots is not None:
             # a static table read first is there in every snapshot; there is one row for each snapshot of the batch
-            frame = frame.withColumnRenamed("_k0", SNAPSHOT) if stream else frame.crossJoin(F.broadcast(self.snapshots.select(SNAPSHOT)))
+            frame = frame.withColumnRenamed("_k0", SNAPSHOT) if stream else frame.crossJoin(self.snapshots.select(SNAPSHOT))
         for k, join in enumerate(statement.joins, 1):
             right, stream = self.opened(k, join.table)
             if self.snapshots is not None and join.kind == "right" and not stream:
-                right, stream = right.crossJoin(F.broadcast(self.snapshots.select(F.col(SNAPSHOT).alias(f"_k{k}")))), True
+                right, stream = right.crossJoin(self.snapshots.select(F.col(SNAPSHOT).alias(f"_k{k}"))), True
             on = values.truth(self.value(self.bind(join.on, {})))
             if self.snapshots is not None and stream:
                 on = on & (F.col(SNAPSHOT) == F.col(f"_k{k}"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import sqlite3
 from collections.abc import Iterator
 
@@ -107,7 +108,7 @@ def _cast(data_type):
 
 
 class SqliteTable(DataSource):
-    """``format("sqlite_table")`` with options ``path`` and ``table``."""
+    """``format("sqlite_table")`` with options ``path`` and ``table``, and ``columns`` as a JSON array of lower-case names if not all are to be read."""
 
     @classmethod
     def name(cls) -> str:
@@ -118,18 +119,22 @@ class SqliteTable(DataSource):
             columns = db.execute(f"PRAGMA table_info({_quote(self.options['table'])})").fetchall()
         if not columns:
             raise QueryError(f"no such table: {self.options['table']}")
-        return StructType([StructField(c[1], _type_of(c[2] or "")) for c in columns])
+        wanted = json.loads(self.options.get("columns", "null"))
+        used = [c for c in columns if wanted is None or c[1].lower() in wanted] or columns[:1]
+        return StructType([StructField(c[1], _type_of(c[2] or "")) for c in used])
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return _Reader(self.options["path"], self.options["table"], schema)
 
 
-def load_sqlite(spark: SparkSession, path: str, table: str) -> DataFrame:
+def load_sqlite(spark: SparkSession, path: str, table: str, columns: set[str] | None = None) -> DataFrame:
     """A table by its declared types: INTEGER as BIGINT, REAL as DOUBLE, TEXT as STRING, BLOB as BINARY.
 
+    Of the table those ``columns`` (in lower case) are read that it has, or all; the first one if it has none of them.
     The file must lie where every executor can read it. A value of another class than its column is null
     in a numeric column and text in a text column.
     """
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(SqliteTable)
-    return spark.read.format("sqlite_table").option("path", path).option("table", table).load()
+    reader = spark.read.format("sqlite_table").option("path", path).option("table", table)
+    return (reader if columns is None else reader.option("columns", json.dumps(sorted(columns)))).load()

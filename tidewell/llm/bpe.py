@@ -214,6 +214,12 @@ class CorpusEncoder:
         ids = self.ids[np.arange(ends[-1]) + np.repeat(self.starts[words] - ends[:-1], n)].astype(np.int32)
         return ids, ends[np.append(0, np.cumsum([len(w) for w in found], dtype=np.int64))]
 
+    def totals(self, found: list[np.ndarray]) -> list[int]:
+        """The number of tokens of each sequence of words."""
+        words = np.concatenate(found) if found else np.zeros(0, np.int64)
+        ends = np.append(0, np.cumsum(self.starts[words + 1] - self.starts[words]))
+        return np.diff(ends[np.append(0, np.cumsum([len(w) for w in found], dtype=np.int64))]).tolist()
+
     def count(self, text: str) -> int:
         """The number of tokens of a short text."""
         get, sizes, total = self.place.get, self.sizes, 0

@@ -26,12 +26,14 @@ SCHEMA = "doc_id bigint, piece_no int, n_pieces int, start_char int, body_char i
 _CODE_SPAN = re.compile(r"^[ \t]*(```|~~~).*?(?:^[ \t]*\1[^\n]*(?:\n|\Z)|\Z)|<pre\b.*?(?:</pre>|\Z)", re.M | re.S | re.I)
 #: What ends before a boundary or starts at it, by strength. Boundaries lie after line breaks and before other white space.
 _MARKS = (
-    (SECTION, re.compile(r"^(?=[ ]{0,3}#{1,6}[ \t])|(?=<h[1-6]\b)|^(?=[ ]{0,3}(?:-{3,}|\*{3,}|_{3,}|={3,})[ \t]*$)|(?=<hr\b)", re.M | re.I)),
+    (SECTION, re.compile(r"^(?=[ ]{0,3}(?:#{1,6}[ \t]|(?:-{3,}|\*{3,}|_{3,}|={3,})[ \t]*$))", re.M)),
+    (SECTION, re.compile(r"<(?=h[1-6]\b|hr\b)", re.I)),
     (PARAGRAPH, re.compile(r"\n(?:[ \t\r]*\n)+|</p>|<p>(?=)|</(?:ul|ol|table|blockquote|div)>", re.I)),
     (LINE, re.compile(r"\r?\n|\r|<br ?/?>|</li>|</tr>", re.I)),
     (SENTENCE, re.compile(r"[.!?…]+[\"'”’)\]]*(?=\s)|[。！？]+[”’」』）]*")),
 )
-
+#: Marks that begin what comes after the boundary.
+_STARTS = ("<p>", "<P>", "<")
 
 #: Weak marks stand nearly everywhere, so they are sought only where there is no other.
 _WEAK = (
@@ -64,7 +66,7 @@ def boundaries(text: str) -> dict[int, int]:
 
     for level, mark in _MARKS:
         for m in mark.finditer(text):
-            at = m.start() if m[0].lower() == "<p>" else m.end()
+            at = m.start() if m[0] in _STARTS else m.end()
             k = bisect_right(starts, at) - 1
             inside = k >= 0 and starts[k] < at < ends[k]
             if inside and level in (SECTION, SENTENCE):
@@ -233,10 +235,11 @@ def split_documents(
         for chunk in chunks(batches, 1):
             keys, texts = chunk.column(0).to_pylist(), chunk.column(1).to_pylist()
             rows: list[tuple] = []
-            for key, own, words in zip(keys, texts, encoder.words(texts), strict=True):
-                ids = encoder.gather(words)
-                if own is None or len(ids) <= limit and not keep_small:
+            found = encoder.words(texts)
+            for key, own, words, total in zip(keys, texts, found, encoder.totals(found), strict=True):
+                if own is None or total <= limit and not keep_small:
                     continue
+                ids = encoder.gather(words)
                 pieces = splitter.split(own, ids)
                 for k, (start, body, end, n, repeated, level) in enumerate(pieces):
                     rows.append((key, k, len(pieces), start, body, end, n, repeated, LEVELS[level], own[start:end]))

@@ -586,8 +586,11 @@ def _steps(path: str) -> list[str | int]:
     return found
 
 
-def _at_path(source: Value, path: str) -> tuple[Column, Column]:
-    """The value under a path, with its type, and its text, of a JSON text; a malformed text is an error."""
+def _at_path(source: Value, path: str) -> tuple[Column, Column, str | None]:
+    """What stands under a path of a JSON text: a struct of its variant ``v`` and its text ``s``, and the path as built-in expressions take it, if they do.
+
+    A malformed text is an error.
+    """
     whole = text(source)
     parsed = F.try_parse_json(whole)
     # the parser takes no repeated names, which are well-formed all the same
@@ -602,7 +605,23 @@ def _at_path(source: Value, path: str) -> tuple[Column, Column]:
             own += f"[{step}]" if isinstance(step, int) else f"[{mark}{step}{mark}]"
             plain = plain and mark == "'"
     value = value if own == "$" else F.try_variant_get(value, own, "variant")
-    return value, F.coalesce(F.get_json_object(whole, own), F.to_json(value)) if plain else F.to_json(value)
+    shown = F.coalesce(F.get_json_object(whole, own), F.to_json(value)) if plain else F.to_json(value)
+    return F.struct(value.alias("v"), shown.alias("s")), whole, own if plain else None
+
+
+def _once(found: Column, build: Callable[[Column], Column]) -> Column:
+    """An expression of a value that is worked out once, however often the expression names it."""
+    return F.element_at(F.transform(F.array(found), build), 1)
+
+
+def _json_value(found: Column) -> Column:
+    """The dialect's text of a JSON value: true and false are 1 and 0, null is null, fractions have a point."""
+    kind, shown = F.schema_of_variant(found["v"]), found["s"]
+    real = real_text(F.try_variant_get(found["v"], "$", "double"))
+    return (
+        F.when(kind == "VOID", None).when(kind == "BOOLEAN", F.when(F.try_variant_get(found["v"], "$", "boolean"), "1").otherwise("0"))
+        .when(kind == "STRING", F.try_variant_get(found["v"], "$", "string")).when(kind.rlike("^(DOUBLE|DECIMAL|BIGINT)") & shown.rlike("[.eE]"), real).otherwise(shown)
+    )
 
 
 @function("JSON_EXTRACT", least=2, most=_MANY)
@@ -610,35 +629,44 @@ def _json_extract(a):
     """One literal path stays in built-in expressions; several paths give a JSON array. True and false are 1 and 0."""
     if len(a) != 2 or not isinstance(a[1].literal, str):
         return _by_engine("json_extract", TEXT)(a)
-    value, shown = _at_path(a[0], a[1].literal)
-    kind = F.schema_of_variant(value)
-    real = real_text(F.try_variant_get(value, "$", "double"))
-    broken = kind.rlike("^(DOUBLE|DECIMAL|BIGINT)") & shown.rlike("[.eE]")
-    found = (
-        F.when(kind == "VOID", None).when(kind == "BOOLEAN", F.when(F.try_variant_get(value, "$", "boolean"), "1").otherwise("0"))
-        .when(kind == "STRING", F.try_variant_get(value, "$", "string")).when(broken, real).otherwise(shown)
-    )
-    return Value(found, TEXT, any_=True)
+    found, whole, path = _at_path(a[0], a[1].literal)
+    value = _once(found, _json_value)
+    if path is not None:
+        # the kind is asked for only where the text leaves it open: no value, a word of JSON, or a number to be written anew
+        own = F.get_json_object(whole, path)
+        value = F.when(own.isNotNull() & ~own.isin("true", "false", "null") & ~own.rlike(r"^-?[0-9]+[.eE]"), own).otherwise(value)
+    return Value(value, TEXT, any_=True)
 
 
 @function("JSON_TYPE", least=1, most=2)
 def _json_type(a):
     if len(a) == 2 and not isinstance(a[1].literal, str):
         return _by_engine("json_type", TEXT)(a)
-    value, shown = _at_path(a[0], a[1].literal if len(a) == 2 else "$")
-    kind = F.schema_of_variant(value)
-    named = F.when(kind == "VOID", "null").when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean").cast("string")).when(kind == "STRING", "text")
-    named = named.when(kind.startswith("ARRAY"), "array").when(kind.startswith("OBJECT"), "object")
-    return Value(named.when(shown.rlike("[.eE]"), "real").when(value.isNotNull(), "integer"), TEXT)
+
+    def named(found: Column) -> Column:
+        kind = F.schema_of_variant(found["v"])
+        simple = F.when(kind == "VOID", "null").when(kind == "BOOLEAN", F.try_variant_get(found["v"], "$", "boolean").cast("string")).when(kind == "STRING", "text")
+        simple = simple.when(kind.startswith("ARRAY"), "array").when(kind.startswith("OBJECT"), "object")
+        return simple.when(found["s"].rlike("[.eE]"), "real").when(found["v"].isNotNull(), "integer")
+
+    return Value(_once(_at_path(a[0], a[1].literal if len(a) == 2 else "$")[0], named), TEXT)
 
 
 @function("JSON_ARRAY_LENGTH", least=1, most=2)
 def _json_array_length(a):
     if len(a) == 2 and not isinstance(a[1].literal, str):
         return _by_engine("json_array_length", INT)(a)
-    value, _ = _at_path(a[0], a[1].literal if len(a) == 2 else "$")
-    n = F.size(F.try_variant_get(value, "$", "array<variant>"))
-    return Value(F.when(value.isNotNull(), F.when(F.schema_of_variant(value).startswith("ARRAY"), n).otherwise(0).cast("bigint")), INT)
+
+    def size(found: Column) -> Column:
+        n = F.size(F.try_variant_get(found["v"], "$", "array<variant>"))
+        return F.when(found["v"].isNotNull(), F.when(F.schema_of_variant(found["v"]).startswith("ARRAY"), n).otherwise(0).cast("bigint"))
+
+    found, whole, path = _at_path(a[0], a[1].literal if len(a) == 2 else "$")
+    value = _once(found, size)
+    if path is not None:
+        own = F.get_json_object(whole, path)
+        value = F.when(own.isNotNull() & ~own.startswith("["), F.lit(0).cast("bigint")).otherwise(value)
+    return Value(value, INT)
 
 
 def json_text(value: object) -> str:

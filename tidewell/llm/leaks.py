@@ -28,6 +28,8 @@ SEED = 20_160_104
 #: worker keeps so many of them; with more blocks it takes the corpus in larger parts, so that indexing again is rare.
 BLOCK_WORDS, KEPT_BLOCKS = 200_000, 2
 PART_ROWS, PART_BYTES = 2_000, 16 << 20
+#: Documents that the exhaustive search takes at once.
+RECALL_ROWS = 200
 
 _COLUMNS = ["doc_id", "item_id", "distance", "n_windows", "first_word", "last_word"]
 _END = np.array([-1], np.int64)
@@ -356,15 +358,19 @@ def leak_recall(
     shared = [spark.sparkContext.broadcast(block) for block in item_blocks(items, item_id, item_text)]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = [None] * len(shared)
         for batch in batches:
-            texts, keys = [words_of(text) for text in batch.column(1).to_pylist()], batch.column(0).to_pylist()
-            for block in shared:
-                found = ItemIndex.build(block.value, passage).exhaustive(texts)
-                rows = [(keys[t], item, d) for (t, item), d in found.items()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32())],
-                    names=["doc_id", "item_id", "distance"],
-                )
+            for low in range(0, batch.num_rows, RECALL_ROWS):
+                part = batch.slice(low, RECALL_ROWS)
+                texts, keys = [words_of(text) for text in part.column(1).to_pylist()], part.column(0).to_pylist()
+                for k, block in enumerate(shared):
+                    index = kept[k] or ItemIndex.build(block.value, passage)
+                    kept[k] = index if len(shared) <= KEPT_BLOCKS else None
+                    rows = [(keys[t], item, d) for (t, item), d in index.exhaustive(texts).items()]
+                    columns = list(zip(*rows, strict=True)) or [(), (), ()]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["doc_id", "item_id", "distance"]
+                    )
 
     corpus = documents.select(documents[doc_id].cast("bigint").alias("doc_id"), documents[text].cast("string").alias("text"))
     matches = corpus.mapInArrow(search, "doc_id bigint, item_id bigint, distance int").groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"))

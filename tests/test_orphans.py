@@ -80,3 +80,12 @@ def test_two_fields_in_one_scan_and_rows_without_time(spark):
             assert got == {("b", 1, "missing"), ("a", 2, "not_yet_created")} | more
     plan = orphan_references(parents, refs)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ExistingRDD") == 1  # the children are read once for both fields
+
+
+def test_only_the_keys_counted_for_it_are_broadcast(spark):
+    children = [(k, 7.0 if k % 2 else float(k), DAY, "p", 1) for k in range(400)]
+    # 201 broken keys, of which 7.0 has half of the records; the others' files are far below Spark's threshold
+    orphans = orphan_references(*build(spark, [(-1.0, 1, 0, None, "x")], children), broadcast_keys=100)
+    assert len(orphans.collect()) == 400
+    final = orphans._jdf.queryExecution().executedPlan().finalPhysicalPlan().toString()
+    assert final.count("SortMergeJoin") == 1 and final.count("BroadcastHashJoin") == 1

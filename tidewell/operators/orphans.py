@@ -11,7 +11,7 @@ from tidewell.runtime import write_and_read
 
 #: A key's records are spread over so many join tasks.
 SALTS = 16
-#: So many keys of 40 bytes are broadcast at most.
+#: So many keys are broadcast at most, some 150 bytes each in the broadcast table.
 BROADCAST_KEYS = 400_000
 CAUSES = ("missing", "not_yet_created", "already_deleted")
 
@@ -122,7 +122,8 @@ def orphan_references(parents: list[Parent], references: list[Reference], broadc
     records: up to ``broadcast_keys`` of them are broadcast, so that no record is shuffled. Of more keys those that hold
     more than their share of the records, and so are fewer than ``broadcast_keys``, are broadcast; the others meet the
     records in a shuffle, where both sides carry a salt taken from the record, so that the records of a hot key that isn't
-    broken go to ``SALTS`` tasks.
+    broken go to ``SALTS`` tasks. That join is a merge whatever Spark estimates: it goes by the bytes of the key files, which
+    are packed and lack the copies by salt, and so would have the driver gather far more than its threshold.
     """
     broken = write_and_read(broken_keys(parents, references), "broken-keys").withColumnsRenamed({"parent": "__parent", "key": "__key"})
     n_keys, n_records = broken.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_children"), F.lit(0))).first()
@@ -135,7 +136,7 @@ def orphan_references(parents: list[Parent], references: list[Reference], broadc
         rows = _keyed(scan, [F.col("*")])
         hits = [rows.join(F.broadcast(few), same)]
         if rest is not None:
-            salted = rest.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            salted = rest.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
             own = rows.withColumn("__own", F.pmod(F.hash(scan[0].record), F.lit(SALTS)))
             hits.append(own.join(salted, same & (F.col("__own") == F.col("__salt"))))
         for hit in hits:  # times are worked out for what the join leaves
